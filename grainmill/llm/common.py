@@ -70,8 +70,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,25 +79,27 @@ with np.errstate(over="ignore"):
 _VALUE_LOWER = _VALUE[_LOWER]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separators: bytes = b" \t\n\v\f\r"):
     """All words of the rows: 64-bit hashes, their byte spans, and where each row's words begin (rows + 1 numbers).
 
     A word's hash is a polynomial in its bytes modulo 2^64, then mixed. All work is whole-array; pieces are
     cut at white space, so the working memory does not grow with a text.
     """
     value = _VALUE_LOWER if lower else _VALUE
+    space = np.zeros(256, bool)
+    space[list(separators)] = True
     hashes, starts, ends = [], [], []
     low, n = 0, len(data)
     while low < n:
         high = min(n, low + (1 << 20))
         while high < n:  # to the next white space, so that no word is cut
-            gap = np.flatnonzero(_SPACE[data[high : high + 65536]])
+            gap = np.flatnonzero(space[data[high : high + 65536]])
             if len(gap):
                 high += int(gap[0]) + 1
                 break
             high = min(n, high + 65536)
         part = data[low:high]
-        word = ~_SPACE[part]
+        word = ~space[part]
         first = word.copy()
         first[1:] &= ~word[:-1]
         cuts = offsets[np.searchsorted(offsets, low, "left") : np.searchsorted(offsets, high, "left")] - low
@@ -109,7 +109,8 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
             last = word.copy()
             last[:-1] &= ~word[1:] | first[1:]
             end = np.flatnonzero(last) + 1
-            place = np.arange(len(part)) - np.repeat(begin, np.diff(np.append(begin, len(part))), axis=0) if begin[0] == 0 else np.concatenate([np.zeros(begin[0], np.int64), np.arange(begin[0], len(part)) - np.repeat(begin, np.diff(np.append(begin, len(part))))])
+            place = np.arange(len(part))
+            place[begin[0] :] -= np.repeat(begin, np.diff(np.append(begin, len(part))))
             with np.errstate(over="ignore"):
                 terms = np.where(word, value[part], np.uint64(0)) * _POWER[place & 0xFFFF]
                 if len(place) > 65536 and (far := place >> 16).any():

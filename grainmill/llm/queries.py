@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing
+from . import language_id, mixing, packing, token_counts
 from .common import read, remainder
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(read(spark, sf_dir, "documents"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
     model = language_id.fit(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
     return language_id.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES = {
+    "op5_token_counts": op5_token_counts,
     "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
 
