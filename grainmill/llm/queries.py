@@ -5,8 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, token_counts
-from .common import read, remainder
+from . import ann, html_extract, language_id, mixing, packing, token_counts, warc
+from .common import read, remainder, shared_dir
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    pages = read(spark, sf_dir, "pages")
+    warc.write(pages, path)
+    page = lambda fields: fields["page_id"].try_cast("long")
+    at = lambda name: F.coalesce(F.col(f"original.{name}"), F.col(f"capture.{name}"))
+    return warc.captures(spark, path, payload=False).select(
+        page(F.col("metadata")).alias("page_id"),
+        at("payload_bytes").alias("payload_bytes"),
+        at("payload_sha256").alias("payload_digest"),
+        F.col("capture.record_type").alias("record_type"),
+        page(F.col("original.metadata")).alias("refers_to"),
+    )
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +53,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op3_nearest": op3_nearest,
+    "op4_main_text": op4_main_text,
     "op5_token_counts": op5_token_counts,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
@@ -37,6 +63,31 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc": """
+with p as (
+  select page_id, coalesce(html, '') as html from pages),
+d as (
+  select page_id, octet_length(encode(html))::bigint as payload_bytes, sha256(html) as payload_digest from p),
+f as (
+  select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from d)
+select page_id, payload_bytes, payload_digest,
+       case when page_id is distinct from first then 'revisit' else 'response' end as record_type,
+       case when page_id is distinct from first then first end as refers_to
+from f
+""",
+    "op3_nearest": """
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as score
+  from (select distinct vec_id, e from v where vec_id % 50 = 0) q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
+r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+""",
     "op10_mixing": """
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
