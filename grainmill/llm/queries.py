@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, language_id, mixing, packing, token_counts, warc
+from . import ann, fingerprints, html_extract, language_id, mixing, near_dups, packing, token_counts, warc
 from .common import read, remainder, shared_dir
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def compare(ids: list, texts: list) -> pa.RecordBatch:
+        n = len(ids) - 1
+        edited = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts[:-1], texts[1:], strict=True)]
+        own, other = fingerprints.sketches(pa.array(texts, pa.large_string())), fingerprints.sketches(pa.array(edited, pa.large_string()))
+        return pa.record_batch(
+            {
+                "doc_id": pa.array(ids[:n], pa.int64()),
+                "n_chars": pa.array([len(t) for t in texts[:n]], pa.int64()),
+                "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+                "fingerprint": pa.array([fingerprints.as_text(s) for s in own[:n]], pa.string()),
+                "edited_fingerprint": pa.array([fingerprints.as_text(s) for s in other], pa.string()),
+                "near_edited": pa.array([fingerprints.containment(a, b) for a, b in zip(own, other, strict=False)], pa.float64()),
+                "near_next": pa.array([fingerprints.containment(a, b) for a, b in zip(own[:-1], own[1:], strict=True)], pa.float64()),
+            }
+        )
+
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return fingerprints.with_next(read(spark, sf_dir, "documents"), compare, schema)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     pages = read(spark, sf_dir, "pages")
@@ -37,6 +61,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.linked(read(spark, sf_dir, "documents"), size=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
     model = language_id.fit(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
@@ -53,10 +82,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
     "op3_nearest": op3_nearest,
     "op4_main_text": op4_main_text,
     "op5_token_counts": op5_token_counts,
+    "op7_near_dups": op7_near_dups,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
@@ -82,7 +113,7 @@ with v as (
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
     and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as score
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) as score
   from (select distinct vec_id, e from v where vec_id % 50 = 0) q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
 r as (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
