@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, html_extract, language_id, mixing, near_dups, packing, token_counts, warc
+from . import ann, fingerprints, html_extract, language_id, mixing, near_dups, packing, ppm, token_counts, warc
 from .common import read, remainder, shared_dir
 
 
@@ -61,6 +61,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 10) != 0).alias("train"))
+    return ppm.score(docs).withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dups.linked(read(spark, sf_dir, "documents"), size=3, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -87,6 +92,7 @@ QUERIES = {
     "op3_nearest": op3_nearest,
     "op4_main_text": op4_main_text,
     "op5_token_counts": op5_token_counts,
+    "op6_ppm_scores": op6_ppm_scores,
     "op7_near_dups": op7_near_dups,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
