@@ -5,7 +5,7 @@ one sign bit a dimension with three correction scalars (its distance from the ce
 with the vector it stands for, its length); codes, ids and original vectors lie in blocks of rows, written to the
 shared folder. Search: the queries, in blocks of a fixed number, are broadcast to the index blocks; inner products are
 estimated from the bits and scalars, and a vector is reranked with its original components if the estimate's upper
-error bound reaches the k-th best lower bound or exact score so far. A task gives its k best of each query, which are
+error bound reaches the k-th best exact score so far (of the best by estimate, and of the blocks before). A task gives its k best of each query, which are
 then merged.
 
 The centroid comes from a bounded sample (`sample_rows`); every vector is indexed. `epsilon` widens the error bounds:
@@ -82,14 +82,24 @@ def estimate(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray, centro
     return near, error
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, summed from the first component to the last in double precision."""
-    dot, left, right = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    out = np.zeros(len(a))
     for k in range(a.shape[1]):
-        dot += a[:, k] * b[:, k]
-        left += a[:, k] * a[:, k]
-        right += b[:, k] * b[:, k]
-    return np.clip(dot / (np.sqrt(left) * np.sqrt(right)), -1, 1)
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def cosine(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, long_a: np.ndarray, long_b: np.ndarray) -> np.ndarray:
+    """Cosines of rows i of a and j of b whose lengths are given, summed as `dot` does; a and b have a row for each component, so that what is gathered stays in cache."""
+    out, step = np.empty(len(i)), 1 << 14
+    for low in range(0, len(i), step):
+        x, y = i[low : low + step], j[low : low + step]
+        total = np.zeros(len(x))
+        for p, q in zip(a, b, strict=True):
+            total += p[x] * q[y]
+        out[low : low + step] = total / (long_a[x] * long_b[y])
+    return np.clip(out, -1, 1)
 
 
 def index(rows: DataFrame, centroids: dict[int, np.ndarray], seed: int) -> DataFrame:
@@ -123,20 +133,27 @@ def _search_block(blocks: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarr
                 vectors = np.frombuffer(batch.column(4)[row].as_buffer(), np.float64).reshape(len(ids), dim)
                 centroid = centroids.get(dim, np.zeros(dim))
                 score, vec = best.setdefault(dim, [np.full((len(query_ids), k), -np.inf), np.full((len(query_ids), k), np.iinfo(np.int64).max)])
+                long, columns = np.sqrt(dot(vectors, vectors)), np.ascontiguousarray(vectors.T)
                 for low in range(0, len(query_ids), 256):
                     part = slice(low, low + 256)
-                    near, error = estimate(codes, scalars, _unit(queries[part]), centroid, seed, epsilon)
-                    near[query_ids[part][:, None] == ids] = -np.inf
-                    lower = near - error
-                    floor = score[part, k - 1]
-                    if len(ids) >= k:
-                        floor = np.maximum(floor, np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k])
-                    q, v = np.nonzero((near + error >= floor[:, None]) & (near > -np.inf))
-                    if not len(q):
-                        continue
-                    exact = np.concatenate([cosine(queries[part][q[i : i + 65536]], vectors[v[i : i + 65536]]) for i in range(0, len(q), 65536)])
+                    asking, own = queries[part], query_ids[part]
+                    long_q = np.sqrt(dot(asking, asking))
+                    near, error = estimate(codes, scalars, _unit(asking), centroid, seed, epsilon)
+                    turned = np.ascontiguousarray(asking.T)
+                    exact = lambda q, v: cosine(turned, columns, q, v, long_q, long)  # noqa: B023, E731
+                    # the best by estimate, their exact scores and those of the blocks before give the floor
+                    few = min(len(ids), 4 * k + 1)
+                    at = np.argpartition(near, len(ids) - few, axis=1)[:, len(ids) - few :].ravel()
+                    q = np.repeat(np.arange(len(own)), few)
+                    first = np.where(own[q] == ids[at], -np.inf, exact(q, at)).reshape(len(own), few)
+                    floor = np.sort(np.concatenate([first, score[part]], axis=1), axis=1)[:, -k]
+                    q, v = np.nonzero(near + error >= floor[:, None])
+                    other = own[q] != ids[v]
+                    q, v = q[other], v[other]
                     held = np.nonzero(score[part] > -np.inf)
-                    all_q, all_s, all_v = np.concatenate([q, held[0]]), np.concatenate([exact, score[part][held]]), np.concatenate([ids[v], vec[part][held]])
+                    all_q, all_s, all_v = np.concatenate([q, held[0]]), np.concatenate([exact(q, v), score[part][held]]), np.concatenate([ids[v], vec[part][held]])
+                    fine = all_s >= floor[all_q]
+                    all_q, all_s, all_v = all_q[fine], all_s[fine], all_v[fine]
                     order = np.lexsort((all_v, -all_s, all_q))
                     all_q, all_s, all_v = all_q[order], all_s[order], all_v[order]
                     place = np.arange(len(all_q)) - np.searchsorted(all_q, all_q)
@@ -153,7 +170,7 @@ def _search_block(blocks: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarr
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, asked: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, seed: int = 7, epsilon: float = 3.0, sample_rows: int = 8192, query_block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, asked: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, seed: int = 7, epsilon: float = 2.4, sample_rows: int = 8192, query_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: of each row of `vectors` for which `asked` (on `id`) holds, its k nearest others by cosine."""
     rows = _usable(vectors, vec_id, embedding)
     share = min(1.0, sample_rows / max(1, vectors.count()))
