@@ -29,6 +29,11 @@ class UrlOptions:
     lower_path: bool = False
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def _part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, _PARTS, n)
 
@@ -40,18 +45,26 @@ def trimmed(text: Column) -> Column:
 
 def clean_path(path: Column) -> Column:
     """Dot segments resolved as a server does; a trailing slash stays. Paths without dot segments are left as they are."""
+    return let(path, _clean)
+
+
+def _clean(path: Column) -> Column:
     resolved = F.aggregate(
         F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda acc, s: F.when((s == "") | (s == "."), acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
     )
     joined = F.concat(F.lit("/"), F.array_join(resolved, "/"))
-    cleaned = F.when(path.endswith("/") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+    cleaned = let(joined, lambda j: F.when(path.endswith("/") & ~j.endswith("/"), F.concat(j, F.lit("/"))).otherwise(j))
     return F.when(path == "", F.lit("/")).when(path.rlike(r"\./|/\.\.?$"), cleaned).otherwise(path)
 
 
 def encode_path(path: Column) -> Column:
     """Characters that no URL path holds (white space, quotes, anything beyond ASCII) as percent-encoded UTF-8; other paths are left as they are."""
+    return let(path, _encode)
+
+
+def _encode(path: Column) -> Column:
     encoded = F.array_join(F.transform(F.split(path, ""), lambda c: F.when(c.rlike(r"^[A-Za-z0-9\-._~$&+,/:;=@%]$"), c).when(c == " ", "%20").otherwise(F.regexp_replace(F.url_encode(c), r"\*", "%2A"))), "")
     return F.when(path.rlike(r"[^!-~]|[\"<>\\^`{|}]"), encoded).otherwise(path)
 
@@ -76,7 +89,10 @@ def sort_query(query: Column) -> Column:
 
 def normalise(url: Column, options: UrlOptions = UrlOptions()) -> Column:
     """The canonical form; null for what is no absolute http(s) URL with a host."""
-    url = trimmed(url)
+    return let(trimmed(url), lambda u: let(_canonical(u, options), lambda c: F.when(c != "", c)))
+
+
+def _canonical(url: Column, options: UrlOptions) -> Column:
     scheme = F.lower(_part(url, 1))
     host = F.lower(F.regexp_replace(_part(url, 2), "^.*@", ""))
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
@@ -84,14 +100,14 @@ def normalise(url: Column, options: UrlOptions = UrlOptions()) -> Column:
     if options.lower_path:
         path = F.lower(path)
     if options.strip_trailing_slash:
-        path = F.when(F.length(path) > 1, F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/"))).otherwise(path)
+        path = let(path, lambda path: F.when(F.length(path) > 1, F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/"))).otherwise(path))
     query = F.substring(_part(url, 4), 2, 1 << 30)
     if options.strip_query or options.sort_query:
         query = strip_query(query, options.strip_query)
     if options.sort_query:
         query = sort_query(query)
     fine = scheme.isin("http", "https") & (host != "") & ~_part(url, 2).rlike(r"[\s\x00-\x1f]|%(?![0-9A-Fa-f]{2})")
-    return F.when(fine, F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    return F.when(fine, F.concat(scheme, F.lit("://"), host, path, let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))))
 
 
 def host(url: Column) -> Column:
@@ -128,7 +144,10 @@ def cache_key(url: Column) -> Column:
 
 def absolute(base: Column, href: Column) -> Column:
     """An href as an absolute URL by RFC 3986, not normalised; empty for blank ones, fragments alone, and schemes other than http(s)."""
-    href = F.regexp_replace(trimmed(href), "(?s)#.*$", "")
+    return let(F.regexp_replace(trimmed(href), "(?s)#.*$", ""), lambda h: let(base, lambda b: _absolute(b, h)))
+
+
+def _absolute(base: Column, href: Column) -> Column:
     scheme = F.lower(F.regexp_extract(href, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
     root = F.concat(F.lower(_part(base, 1)), F.lit("://"), _part(base, 2))
     path, query = F.regexp_extract(href, "^([^?]*)", 1), F.regexp_extract(href, r"^[^?]*(\?.*)?$", 1)
@@ -146,5 +165,5 @@ def absolute(base: Column, href: Column) -> Column:
 
 def resolve(base: Column, href: Column, options: UrlOptions = UrlOptions()) -> Column:
     """An href found on a page as a canonical URL; null where it has none."""
-    bare = trimmed(href)
-    return normalise(F.when((bare == "") | bare.startswith("#"), trimmed(base)).otherwise(F.nullif(absolute(trimmed(base), href), F.lit(""))), options)
+    target = let(trimmed(href), lambda h: F.when((h == "") | h.startswith("#"), trimmed(base)).otherwise(absolute(trimmed(base), h)))
+    return normalise(target, options)

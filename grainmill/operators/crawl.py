@@ -42,8 +42,8 @@ def follow(requests: DataFrame, edges: DataFrame, scope: Scope, most: int = 10)
     hop = edges.select(F.col("url").alias("__u"), F.col("status").alias("__s"), "location")
     rows = requests.withColumn("final_url", F.col("url")).withColumn("hops", F.lit(0)).withColumn("outcome", F.lit(None).cast("string"))
     for _ in range(most + 1):
-        rows = rows.join(hop, (F.col("final_url") == F.col("__u")) & F.col("outcome").isNull(), "left")
-        to = urls.resolve(F.col("final_url"), F.col("location"))
+        rows = rows.join(hop, (F.col("final_url") == F.col("__u")) & F.col("outcome").isNull(), "left").withColumn("__to", urls.resolve(F.col("final_url"), F.col("location")))
+        to = F.col("__to")
         moved = F.col("__s").isin(301, 302, 303, 307, 308) & (F.coalesce("location", F.lit("")) != "")
         outcome = F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(F.col("__s").isNull(), "missing").when(~moved, "ok").when(F.col("hops") >= most, "too many redirects").when(~F.coalesce(allows(scope, to), F.lit(False)), "out of scope")
         rows = settle(rows.select(*requests.columns, F.when(outcome.isNull(), to).otherwise(F.col("final_url")).alias("final_url"), (F.col("hops") + F.when(outcome.isNull(), 1).otherwise(0)).alias("hops"), outcome.alias("outcome")))

@@ -195,7 +195,7 @@ def robots_gate(spark, sf_dir):
     rows = requests(spark, sf_dir)
     origin = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
     files = rows.groupBy(origin.alias("origin")).agg(F.min("host").alias("host")).select("origin", F.when(F.col("host").like("spam%"), 503).when(F.col("host").like("%.org"), 404).otherwise(200).alias("status"), F.when(~F.col("host").like("%.org"), body).alias("body"))
-    return robots.gate(rows.select("seq", "url"), files, "grainmill/1.0").select("seq", "robots")
+    return robots.gate(rows.select("seq", "url"), files, "mill/1.0").select("seq", "robots")
 
 
 def redirect_resolve(spark, sf_dir):
