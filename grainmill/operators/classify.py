@@ -52,12 +52,14 @@ class Terms:
         total = sum(single.values()) + sum(w for _, w in phrases)
         if not total:
             return F.lit(0.0)
-        tokens, found = T.tokens(text), F.lit(0.0)
-        for term, weight in single.items():
-            found = found + weight * T.saturate(_occurrences(tokens, [term]))
-        for words, weight in phrases:
-            found = found + weight * T.saturate(_occurrences(tokens, words))
-        return F.when(T.blank(text), 0.0).otherwise(T.clamp(found / total))
+
+        def found(tokens: Column) -> Column:
+            out = F.lit(0.0)
+            for words, weight in [*(([t], w) for t, w in single.items()), *phrases]:
+                out = out + weight * T.saturate(_occurrences(tokens, words))
+            return out
+
+        return F.when(T.blank(text), 0.0).otherwise(T.clamp(urls.let(T.tokens(text), found) / total))
 
 
 def bayes_statistics(docs: DataFrame, text: str, about: str) -> DataFrame:

@@ -72,6 +72,9 @@ class CrawlPlan:
     score: Callable[[Column], Column] = field(default=lambda url: F.lit(0.5))
 
 
+_OUT = ("job", "hash", "url", "host", "depth", "score", "wave")
+
+
 def crawl(start: DataFrame, pages: DataFrame, read_links: Callable[[DataFrame], DataFrame], plan: CrawlPlan) -> tuple[DataFrame, DataFrame, str]:
     """Crawls from `start` (url) until the frontier is empty or the budget spent. read_links adds the column links to rows of url, body.
 
@@ -92,9 +95,9 @@ def crawl(start: DataFrame, pages: DataFrame, read_links: Callable[[DataFrame],
         n = leased.count()
         if not n:
             waiting = not todo.where("status = 'waiting'").isEmpty()
-            return (got if got is not None else fetch(leased, pages)), todo, "stalled" if waiting else "finished"
+            return (got if got is not None else fetch(leased.select(*_OUT), pages)), todo, "stalled" if waiting else "finished"
         spent += n
-        answers = settle(read_links(fetch(leased, pages)))
+        answers = settle(read_links(fetch(leased.select(*_OUT), pages)))
         got = answers if got is None else got.unionByName(answers)
         fine = answers.where("status between 200 and 299").withColumn("seq", F.xxhash64("hash"))
         found = discovered(fine, options=plan.options).where((F.col("depth") <= plan.max_depth) & allows(plan.scope, F.col("url")))

@@ -188,8 +188,8 @@ mm as (select avg(case when about then coalesce(ev, 0) end) as ma, avg(case when
 f as (select (ma + mb) / 2 as midpoint, case when ma > mb then 4 / (ma - mb) else 1 end as scale from mm)"""
 _E = """e as (
   select event_id as seq, event_type as name, (user_id % 5)::varchar as usr, case when event_id % 2 = 0 then value::varchar end as value, json_extract_string(props, '$.k') as k,
-         date_trunc('day', ts) as at, 'j' || (user_id % 3) as job, 'e:' || event_id as url from events),
-i as (select *, substr(sha256(name || chr(0) || 'user=' || usr || chr(0) || (epoch_us(at) * 1000)::varchar), 1, 24) as id from e)"""
+         date_trunc('day', ts) as w, 'j' || (user_id % 3) as job, 'e:' || event_id as url from events),
+i as (select *, substr(sha256(name || chr(0) || 'user=' || usr || chr(0) || (epoch_us(w) * 1000)::varchar), 1, 24) as id from e)"""
 _Z = "'%Y-%m-%dT%H:%M:%SZ'"
 
 ORACLES = {
@@ -209,16 +209,16 @@ ORACLES = {
     "validate_records": "select doc_id as seq, 'doc:' || (doc_id % 700) as url from documents where doc_id % 3 = 0 and trim(coalesce(lang, '')) <> ''",
     "dedupe_records": "select min(doc_id) as seq, lang from documents group by lang, n_chars",
     "collapse_identity": "select min(doc_id) as seq, 'doc:' || (doc_id % 700) as url from documents group by doc_id % 700",
-    "rank_topk": "select doc_id as seq, n_chars::varchar as n_chars from documents order by n_chars desc, doc_id limit 50",
+    "rank_topk": "select doc_id as seq, n_chars::varchar as n_chars from documents order by documents.n_chars desc, doc_id limit 50",
     "wave_merge": """with r as (select min(doc_id) as seq, 'doc:' || (doc_id % 700) as url from documents group by doc_id % 700)
 select url, seq, 'empty,n_chars,source' as names from r where seq % 4 <> 1 and seq % 3 = 0
 union all select url || '+' as url, seq, 'empty,lang,n_chars,source' as names from r where seq % 50 = 0""",
-    "measurements": f"with {_E} select seq, name, usr as user, case when value is null then 'k' else 'k,value' end as fields, case when seq % 2 = 0 then strftime(at, {_Z}) else '2024-01-01T00:00:00Z' end as time from e",
+    "measurements": f"with {_E} select seq, name, usr as user, case when value is null then 'k' else 'k,value' end as fields, case when seq % 2 = 0 then strftime(w, {_Z}) else '2024-01-01T00:00:00Z' end as time from e",
     "measurement_subject": f"with {_E} select 'grain.u_' || usr || '__' as key, count(*) as messages from e group by 1",
     "event_id": f"with {_E} select seq, id from i",
     "event_upsert": f"with {_E} select id, arg_min(name, seq) as name, arg_min(job, seq) as job, arg_min(url, seq) as url, arg_max(value, seq) filter (where value is not null) as value, arg_max(k, seq) filter (where k is not null) as k from i group by id",
-    "event_query": f"with {_E} select seq, id, strftime(at, {_Z}) as at from i where name = 'click' and usr = '2' and at >= timestamp '2024-01-03' and at < timestamp '2024-01-10' order by at desc, id limit 100",
-    "event_series": f"with {_E} select name, count(distinct id) as count, strftime(min(at), {_Z}) as first, strftime(max(at), {_Z}) as last from i group by name",
+    "event_query": f"with {_E} select seq, id, strftime(w, {_Z}) as \"at\" from i where name = 'click' and usr = '2' and w >= timestamp '2024-01-03' and w < timestamp '2024-01-10' order by w desc, id limit 100",
+    "event_series": f"with {_E} select name, count(distinct id) as count, strftime(min(w), {_Z}) as first, strftime(max(w), {_Z}) as last from i group by name",
     "event_retract": f"with {_E} select job, count(*) as events from e where job <> 'j1' group by job",
     "event_windows": f"select event_type as name, strftime(time_bucket(interval 6 hours, ts, timestamp '1970-01-01'), {_Z}) as start, count(*) as count from events group by 1, 2",
     "upsert_records": f"""with r as (select doc_id as seq, 'doc:' || (doc_id % 100) as url, lang from documents)

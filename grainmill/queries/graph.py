@@ -124,7 +124,7 @@ def entity_aliases(spark, sf_dir):
 def merge_candidates(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    people = c.select(F.lit("person").alias("kind"), F.when(k % 3 == 0, F.concat(F.lit("A. Name"), (k / 3).cast("long").cast("string"))).otherwise(F.concat(F.lit("Ann"), (k % 3).cast("string"), F.lit(" Name"), F.floor(k / 4).cast("string"))).alias("name"), k.alias("seq"), F.lit("2024-01-01").cast("timestamp").alias("at"), *[F.expr(_NONE).alias(x) for x in ("obj_kind", "obj_name")])
+    people = c.select(F.lit("person").alias("kind"), F.when(k % 3 == 0, F.concat(F.lit("A. Name"), (k / 3).cast("long").cast("string"))).otherwise(F.concat(F.lit("Ann"), (k % 3).cast("string"), F.lit(" Name"), F.floor(k / 2).cast("string"))).alias("name"), k.alias("seq"), F.lit("2024-01-01").cast("timestamp").alias("at"), *[F.expr(_NONE).alias(x) for x in ("obj_kind", "obj_name")])
     none = spark.createDataFrame([], "alias string, canonical string")
     return G.candidates(G.entities(people), none).select("from_name", "to_name", "rule")
 
@@ -137,12 +137,12 @@ QUERIES = {f.__name__: f for f in (
 _ID = "substr(sha256({k} || chr(0) || lower({n})), 1, 24)"
 _A = f"""a as (
   select 'person' as kind, case when o_orderkey % 2 = 0 then lower(c_name) else c_name end as name, n_name as obj, case when o_orderkey % 3 = 0 then 'life@home' else '' end as topic, (o_orderkey % 5)::int as position,
-         c_mktsegment as job, 'o:' || o_orderkey as url, o_orderdate as at, o_orderkey as seq
+         c_mktsegment as job, 'o:' || o_orderkey as url, o_orderdate as w, o_orderkey as seq
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
   union all select 'company', s_name, null, null, null, 'SUPPLY', 's:' || s_suppkey, timestamp '2024-01-01', -s_suppkey - 1 from supplier),
-x as (select kind, name, at, seq, 0 as side, job from a union all select 'place', obj, at, seq, 1, job from a where obj is not null),
-e as (select {_ID.format(k='kind', n='name')} as id, arg_min(kind, seq * 2 + side) as kind, arg_min(name, seq * 2 + side) as name, min(at) as first, max(at) as last, count(*) as assertions from x group by 1),
-r0 as (select {_ID.format(k="'person'", n='name')} as source, {_ID.format(k="'place'", n='obj')} as target, 'lives_in' as kind, topic, min(position) as position, min(at) as first, max(at) as last, count(*) as assertions from a where obj is not null group by 1, 2, 3, 4),
+x as (select kind, name, w, seq, 0 as side, job from a union all select 'place', obj, w, seq, 1, job from a where obj is not null),
+e as (select {_ID.format(k='kind', n='name')} as id, arg_min(kind, seq * 2 + side) as kind, arg_min(name, seq * 2 + side) as name, min(w) as first, max(w) as last, count(*) as assertions from x group by 1),
+r0 as (select {_ID.format(k="'person'", n='name')} as source, {_ID.format(k="'place'", n='obj')} as target, 'lives_in' as kind, topic, min(position) as position, min(w) as first, max(w) as last, count(*) as assertions from a where obj is not null group by 1, 2, 3, 4),
 al0 as (select {_ID.format(k="'person'", n='c_name')} as alias, {_ID.format(k="'person'", n="'Customer#' || lpad((c_custkey - 1)::varchar, 9, '0')")} as canonical from customer where c_custkey % 10 = 0 and c_custkey > 1),
 al as (select * from al0 where alias in (select id from e) and canonical in (select id from e)),
 rs as (select id, coalesce(canonical, id) as canonical from e left join al on alias = id),
@@ -168,7 +168,7 @@ ORACLES = {
     "provenance_of": f"with {_A}, fam as (select id from rs where canonical = {_ID.format(k=chr(39) + 'person' + chr(39), n=chr(39) + 'customer#000000019' + chr(39))}) select seq, job, url from a where {_ID.format(k='kind', n='name')} in (select id from fam)",
     "retract_job": f"with {_A} select kind, count(*) as entities, sum(n)::bigint as assertions from (select kind, lower(name) as name, count(*) as n from x where job <> 'BUILDING' group by 1, 2) group by kind",
     "entity_aliases": f"with {_A} select al.canonical, alias as id, kind, 'manual' as rule from al join e on e.id = alias",
-    "merge_candidates": """with c as (select distinct case when c_custkey % 3 = 0 then 'A. Name' || (c_custkey // 3) else 'Ann' || (c_custkey % 3) || ' Name' || (c_custkey // 4) end as name, c_custkey % 3 = 0 as initial from customer),
+    "merge_candidates": """with c as (select distinct case when c_custkey % 3 = 0 then 'A. Name' || (c_custkey // 3) else 'Ann' || (c_custkey % 3) || ' Name' || (c_custkey // 2) end as name, c_custkey % 3 = 0 as initial from customer),
 f as (select string_split(name, ' ')[2] as surname, min(name) as to_name from c where not initial group by 1 having count(*) = 1)
 select c.name as from_name, to_name, 'initial' as rule from c join f on string_split(c.name, ' ')[2] = surname where initial""",
 }
