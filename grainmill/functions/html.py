@@ -173,7 +173,10 @@ def selector(text: str):
     groups = []
     for group in re.split(r",(?![^\[]*\])", text):
         parts, comb = [], " "
-        for token in re.findall(r"\s*>\s*|(?:\[[^\]]*\]|[^\s>\[])+|\s+", group.strip()):
+        tokens = re.findall(r"\s*>\s*|(?:\[[^\]]*\]|[^\s>\[])+|\s+", group.strip())
+        if "".join(tokens) != group.strip():
+            raise ValueError(f"no selector: {text!r}")
+        for token in tokens:
             if not token.strip():
                 continue
             if token.strip() == ">":
