@@ -4,12 +4,15 @@ Each document's signature has `COORDS` minimum hashes of its shingle set. A pair
 at least T coordinates but for one case in a million (T from the binomial tail), so it shares a posting list among the
 COORDS - T + 1 rarest coordinate-value pairs of either: only those (the prefix) are posted, and values that a single
 document has need no list. Collisions of a pair are counted on the packed signatures in the first list that both
-prefixes share, and skipped in all others; pairs below T go, the rest is confirmed on the full shingle sets.
+prefixes share, and skipped in all others; pairs below T go, as do those whose sets must differ in too many shingles
+(their odd sketches, a parity bit for each hash bucket, differ in no more bits than the sets in shingles). The rest is
+confirmed on the full shingle sets.
 
 Equal sets are one class from the start. Lists are worked through in rounds: in each, the next few documents of a list
-(1, 3, 12, 48, ...; in one order for all lists) meet those documents of the list that no confirmed links join to them
-yet. So a group of thousands of near copies costs a star or two, not all its pairs, and still no link that would join
-two components is lost: pairs that are skipped are joined already. Components are found with alternating stars.
+(2, 14, then all others; in one order for all lists) meet those documents of the list that no confirmed links join to
+them yet. So a group of thousands of near copies costs a star or two, not all its pairs, and still no link that would join
+two components is lost: pairs that are skipped are joined already. Components are found with alternating stars (a
+bounded number of links by union in one task).
 
 Defined results: texts without words (null, empty, white space) have an empty set and are linked with nothing; shorter
 texts than a shingle are one shingle; repeated rows are linked like any equal sets; the component id is the smallest
@@ -30,8 +33,12 @@ from pyspark.sql.window import Window
 
 from .common import hashed_shingles, hashed_words, row_chunks, stage, text_bytes
 
-COORDS, LANES, LANE_BITS = 32, 4, 15
+COORDS, LANES, LANE_BITS = 64, 4, 15
 _WORDS = COORDS // LANES
+#: Up to so many links are joined in one task, and so many wanted documents are told to all tasks; more go by shuffles.
+SMALL = 200_000
+#: Bits of an odd sketch.
+ODD = 1024
 _ONES = sum(((1 << (LANE_BITS - 1)) - 1) << (LANE_BITS * i) for i in range(LANES))
 _TOPS = sum(1 << (LANE_BITS * i + LANE_BITS - 1) for i in range(LANES))
 _RNG = np.random.default_rng(20240)
@@ -61,7 +68,7 @@ def _row_sets(column: pa.Array, size: int):
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, th, n_shingles, key (of the set; null if empty), tokens (a hash of each coordinate and its value), packed (the signature in lanes)."""
-    schema = docs.select("doc_id", "th").schema.add("n_shingles", "long").add("key", "binary").add("tokens", ArrayType(LongType())).add("packed", ArrayType(LongType()))
+    schema = docs.select("doc_id", "th").schema.add("n_shingles", "long").add("key", "binary").add("tokens", ArrayType(LongType())).add("packed", ArrayType(LongType())).add("odd", ArrayType(LongType()))
 
     def run(batches):
         for batch in batches:
@@ -78,11 +85,18 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     tokens = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(COORDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
                 lanes = (tokens >> np.uint64(65 - LANE_BITS)).astype(np.int64).reshape(len(n), _WORDS, LANES) << (LANE_BITS * np.arange(LANES))
                 packed = lanes.sum(2)
+                # parity of the shingles in each of ODD buckets, some rows at a time
+                odd = np.zeros((len(n), ODD // 64), np.int64)
+                bucket = (sets >> np.uint64(20)).astype(np.int64) & (ODD - 1)
+                for at in range(0, len(n), 1024):
+                    rows = n[at : at + 1024]
+                    own = np.repeat(np.arange(len(rows)), rows) * ODD + bucket[begin[at] : begin[at + len(rows)]]
+                    odd[at : at + 1024] = np.packbits(np.bincount(own, minlength=len(rows) * ODD).reshape(len(rows), ODD) & 1, axis=1).view(np.int64)
                 raw = sets.tobytes()
                 key = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 part = batch.slice(low, len(n))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(key, pa.binary()), lists(tokens.view(np.int64)), lists(packed)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(key, pa.binary()), lists(tokens.view(np.int64)), lists(packed), lists(odd)], names=schema.names)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, schema)
 
@@ -96,12 +110,43 @@ def _matches(a: str, b: str) -> Column:
     return F.lit(COORDS) - differ
 
 
+def _differ(a: str, b: str) -> Column:
+    """In how many shingles two sets differ at least."""
+    out = F.lit(0)
+    for i in range(ODD // 64):
+        out = out + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+    return out
+
+
+def _joined(batches):
+    """Union by smaller root, for a bounded number of links."""
+    up: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            up.setdefault(low, low)
+            up[high] = low
+    nodes = [x for x in up if root(x) != x]
+    for i in range(0, len(nodes), 10_000):
+        part = nodes[i : i + 10_000]
+        yield pa.record_batch([pa.array(part, pa.binary()), pa.array([root(x) for x in part], pa.binary())], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node it reaches) for the nodes of these edges (a, b), by alternating large and small stars."""
+    """node, root (the smallest node it reaches) for the nodes of these edges (a, b), by alternating large and small stars, or in one task if there are few."""
     fingerprint = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
     edges = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = fingerprint(edges)
-    while before[0]:
+    if before[0] <= SMALL:
+        return edges.coalesce(1).mapInArrow(_joined, "node binary, root binary")
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -139,17 +184,19 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: in
     least = least_matches(num / den)
     prefix = COORDS - least + 1
     head = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "th"))
-    classes = stage(signed.where("key is not null").groupBy("key").agg(head.alias("head"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("packed").alias("packed")))
+    classes = stage(signed.where("key is not null").groupBy("key").agg(head.alias("head"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("packed").alias("packed"), F.first("odd").alias("odd")))
     # posting lists of the prefixes
     tokens = classes.select("key", F.explode("tokens").alias("token"))
     shared = stage(tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1"))
     posts = tokens.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("found"))  # COORDS at most
     posts = posts.withColumn("prefix", F.expr(f"transform(slice(found, 1, greatest(0, {prefix} - ({COORDS} - size(found)))), x -> x.token)")).where("size(prefix) > 0")
-    posts = posts.join(classes.select("key", "n", "packed"), "key").select("key", "n", "packed", "prefix", F.explode("prefix").alias("token"))
+    posts = posts.join(classes.select("key", "n", "packed", "odd"), "key").select("key", "n", "packed", "odd", "prefix", F.explode("prefix").alias("token"))
     lists = posts.withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("key"), "key")) - 1).withColumn("of", F.count("*").over(Window.partitionBy("token")))
     lists = stage(lists.where("of > 1"))
     # the documents that may need confirming, and their sets
     wanted = lists.select("key").distinct().join(classes.select("key", "head.doc_id", "head.th"), "key").select("key", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
+    wanted = stage(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
 
     def full(batches):
         for batch in batches:
@@ -160,8 +207,8 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: in
     chosen = rows.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("key", "text")
     sets = stage(chosen.mapInArrow(full, "key binary, set binary").groupBy("key").agg(F.first("set").alias("set")))
     # rounds
-    links, roots, low, high = None, None, 0, 1
-    while True:
+    links, roots = None, None
+    for low, high in ((0, 2), (2, 16), (16, 1 << 62)):
         now = lists
         if roots is not None:
             now = now.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
@@ -171,15 +218,14 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: in
             now = now.withColumn("root", F.col("key")).where(F.col("of") > low + 1)
         if now.isEmpty():
             break
-        hubs = now.where((F.col("at") >= low) & (F.col("at") < high)).select(*[F.col(c).alias(f"h_{c}") for c in ("token", "key", "n", "packed", "prefix", "root", "at")])
-        alike = (F.col("n") * den >= F.col("h_n") * num) & (F.col("h_n") * den >= F.col("n") * num) & (_matches("packed", "h_packed") >= least)
+        hubs = now.where((F.col("at") >= low) & (F.col("at") < high)).select(*[F.col(c).alias(f"h_{c}") for c in ("token", "key", "n", "packed", "odd", "prefix", "root", "at")])
+        alike = (F.col("n") * den >= F.col("h_n") * num) & (F.col("h_n") * den >= F.col("n") * num) & (_differ("odd", "h_odd") * (den + num) <= (F.col("n") + F.col("h_n")) * (den - num)) & (_matches("packed", "h_packed") >= least)
         first = F.array_min(F.array_intersect("prefix", "h_prefix")) == F.col("token")
         met = now.join(hubs, (F.col("token") == F.col("h_token")) & (F.col("at") > F.col("h_at")) & (F.col("root") != F.col("h_root")) & alike & first).select(F.col("h_key").alias("a"), F.col("key").alias("b"))
         good = stage(_confirmed(met, sets, num, den))
         if not good.isEmpty():
             links = good if roots is None else good.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = components(links)
-        low, high = high, 4 * high
+            roots = stage(components(links))
     # results
     named = classes.select("key", "head")
     if roots is not None:
