@@ -15,7 +15,10 @@ from ..sources import tables
 
 STRIP = urls.UrlOptions(strip_query=urls.TRACKING)
 ORIGIN = "2024-01-01T00:00:00"
-NOW = F.timestamp_seconds(F.lit(1_704_153_600))
+
+
+def now():
+    return F.timestamp_seconds(F.lit(1_704_153_600))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,7 +50,7 @@ def _hosts(rows: DataFrame) -> DataFrame:
 def _lease(policy: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _frontier(spark, sf_dir)
-        return frontier.lease(rows, _hosts(rows), NOW, 50, policy).select("hash", "host", "depth", "score", "wait")
+        return frontier.lease(rows, _hosts(rows), now(), 50, policy).select("hash", "host", "depth", "score", "wait")
 
     return run
 
@@ -176,7 +179,7 @@ def cache_lookup(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     held = pages.where("page_id % 3 = 0").groupBy("url").agg(F.min("html").alias("body"), F.min("page_id").alias("n"))
     cache = held.select(urls.cache_key(F.col("url")).alias("key"), "body", F.when(F.col("n") % 2 == 0, 200).otherwise(404).alias("status"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("n") * 600).alias("stored"))
-    return crawl.cached(pages.select("page_id", "url"), cache, NOW, ttl=60_000).select("page_id", "hit")
+    return crawl.cached(pages.select("page_id", "url"), cache, now(), ttl=60_000).select("page_id", "hit")
 
 
 def corpus_scan(spark, sf_dir):
