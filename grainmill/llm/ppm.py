@@ -1,22 +1,25 @@
 """Language-model scores by prediction by partial matching over bytes, and a unigram base beside them.
 
-Pretrained model: a trie of byte contexts up to `ORDER`, with the counts of the symbols that follow, learned from all
-training texts. A symbol is coded in the longest known context; a context that does not hold it escapes to the next
-shorter one, where the symbols of the longer are excluded; last comes a uniform choice among the symbols never seen.
-Escapes are estimated from the symbols a context has seen once and from those the bounded trie has left out. A context
-starts at its token's first byte, so a token's code length is a function of the token alone: the trie is counted from
-the distinct tokens with their frequencies, and each distinct token is scored once, however often the corpus repeats
-it. The trie holds the `max_entries` most frequent (context, symbol) pairs; the rest is reached through escapes.
+Pretrained model: the counts of the symbols that follow each byte context of up to `ORDER` bytes, learned from all
+training texts; all of them count, however rare. A symbol is coded in the longest known context; a context that does
+not hold it escapes to the next shorter one, where the symbols of the longer are excluded; last comes a uniform choice
+among the symbols never seen. Escapes are estimated from the symbols a context has seen once. A context starts at its
+token's first byte.
+
+A symbol's code length depends on its event alone, which is its longest context and itself. The distinct events of all
+texts are a table with their counts. Events whose contexts end with the same `SPLIT` bytes share all longer contexts:
+they are coded together, from their own counts and those of the contexts below `SPLIT` bytes, which each task has.
 
 Adaptive part: where the `BACK` tokens before a token stood earlier in the same text, the token that followed them last
 is predicted first, with a probability that adapts to how often such predictions held in this text; if it fails, the
 token is coded as above.
 
-Scoring: the code lengths of frequent tokens are a table of bounded size, broadcast and looked up in numpy; a text's
-other tokens, distinct and counted, meet theirs in a join. No text is shuffled.
+Scoring: the code lengths of common events and the base of frequent tokens are tables of bounded size, broadcast and
+looked up in numpy; a text's other events and tokens meet theirs in joins. The tables' sizes decide only speed. No text
+is shuffled.
 
 Defined results: a null or empty text is one end token; words are taken in lower case (A-Z); without training texts the
-trie is empty and symbols are uniform, the base has c = N = V = 0. Repeated rows are rows of their own.
+model is empty and symbols are uniform, the base has c = N = V = 0. Repeated rows are rows of their own.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ ORDER, SPACE, END = 6, 0x20, 0x0A
 #: Weight of a context's single symbols in its escapes, and what is added to them; successes and failures that adaptive predictions start with.
 SINGLE, NEW, HELD, FAILED = 0.7, 0.2, 4.0, 0.25
 BACK = 3
+#: Events are dealt out by so many bytes at the end of their contexts, and coded so many at a time.
+SPLIT, GROUP = 3, 1 << 19
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -57,42 +62,83 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "train").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def events(column: pa.Array):
-    """Of all symbols of these tokens (their bytes and the end): symbol, packed context (last byte lowest), its length, token number."""
-    data, offsets = text_bytes(column)
-    n = np.diff(offsets)
-    at = np.concatenate([[0], np.cumsum(n + 2)])
+_MASK = (1 << (8 * np.arange(ORDER + 1))) - 1
+
+
+def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray):
+    """Of all symbols of these texts (words, each with its end, and the text's end): symbol, packed context (last byte lowest), its length, token number.
+
+    Words and text ends are numbered together in order of place."""
+    n, row = ends - starts, np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    before = np.concatenate([[0], np.cumsum(n)])
+    first = before[:-1] + np.arange(len(n)) + 2 * row + 1
+    at = before[rows] + rows + 2 * np.arange(len(rows))  # where texts begin
     text = np.full(at[-1], SPACE, np.uint8)
-    text[np.arange(len(data)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = data
-    place = np.arange(at[-1]) - np.repeat(at[:-1], n + 2)
+    text[np.arange(before[-1]) + np.repeat(first - before[:-1], n)] = data[np.arange(before[-1]) + np.repeat(starts - before[:-1], n)]
+    text[at[1:] - 1] = END
+    fresh = np.zeros(len(text), bool)
+    fresh[first] = fresh[at[1:] - 1] = True
+    token = np.cumsum(fresh) - 1
+    begin = np.flatnonzero(fresh)
+    place = np.arange(len(text)) - begin[token] + 1
+    place[at[:-1]] = 0
+    length = np.minimum(place, ORDER)
     context = np.zeros(len(text), np.int64)
-    for j in range(ORDER):
-        inside = np.flatnonzero(place > j)
-        context[inside] |= text[inside - 1 - j].astype(np.int64) << (8 * j)
-    coded = np.flatnonzero(place > 0)
-    return text[coded].astype(np.int64), context[coded], np.minimum(place[coded], ORDER), np.repeat(np.arange(len(n)), n + 1)
+    for j in range(min(ORDER, len(text) - 1)):
+        context[j + 1 :] |= text[: -1 - j].astype(np.int64) << (8 * j)
+    context &= _MASK[length]
+    coded = place > 0
+    return text[coded].astype(np.int64), context[coded], length[coded], token[coded]
+
 
+def events(column: pa.Array):
+    """`symbols` of these tokens, without text ends; numbered as the tokens."""
+    data, offsets = text_bytes(column)
+    n = len(offsets) - 1
+    symbol, context, length, token = symbols(data, offsets[:-1], offsets[1:], np.arange(n + 1))
+    own = token % 2 == 0
+    return symbol[own], context[own], length[own], token[own] // 2
 
-def _entry(order: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return (order << 56) | ((context & ((1 << (8 * order)) - 1)) << 8) | symbol
 
+def _entry(order, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Order (one, or one for each), context and symbol in a long."""
+    return (order << 56) | ((context & _MASK[order]) << 8) | symbol
 
-def trie_counts(words: DataFrame) -> DataFrame:
-    """word, c -> entry (order, context and symbol in a long), n."""
+
+def text_symbols(column: pa.Array):
+    """Runs of rows, their words as `hashed_words` gives them, and the events (deepest entries) of their symbols with token numbers."""
+    data, offsets = text_bytes(column)
+    for low, high in row_chunks(offsets, 2 << 20):
+        part = _LOWER[data[offsets[low] : offsets[high]]]
+        words, starts, ends, rows = hashed_words(part, offsets[low : high + 1] - offsets[low], lower=False)
+        symbol, context, length, token = symbols(part, starts, ends, rows)
+        yield low, high, words, rows, _entry(length, context, symbol), token
+
+
+def event_counts(docs: DataFrame) -> DataFrame:
+    """text, train (boolean) -> event, n, times: every distinct event of all texts with its counts in those for training and in all."""
 
     def run(batches):
         for batch in batches:
-            count = batch.column(1).to_numpy()
-            _, offsets = text_bytes(batch.column(0))
-            for low, high in row_chunks(offsets, 1 << 19):
-                symbol, context, length, row = events(batch.column(0).slice(low, high - low))
-                weight = count[low:high][row]
-                for order in range(ORDER + 1):
-                    deep = length >= order
-                    keys, back = np.unique(_entry(order, context[deep], symbol[deep]), return_inverse=True)
-                    yield pa.record_batch([pa.array(keys), pa.array(np.bincount(back, weights=weight[deep], minlength=len(keys)).astype(np.int64))], ["entry", "n"])
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for low, high, _, rows, event, token in text_symbols(batch.column(0)):
+                learn = np.repeat(train[low:high], np.diff(rows) + 1)[token]
+                for own, weight in ((learn, 1), (~learn, 0)):
+                    keys, n = np.unique(event[own], return_counts=True)
+                    yield pa.record_batch([pa.array(keys), pa.array(n * weight), pa.array(n)], ["event", "n", "times"])
+
+    return docs.select("text", "train").mapInArrow(run, "event long, n long, times long").groupBy("event").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
-    return words.select("word", "c").mapInArrow(run, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+
+def entries(event: np.ndarray, n: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of order low to high - 1 that these events with counts above 0 make, and their counts."""
+    event, n = event[n > 0], n[n > 0]
+    made = []
+    for order in range(low, high):
+        deep = event >> 56 >= order
+        keys, back = np.unique(_entry(order, event[deep] >> 8, event[deep] & 255), return_inverse=True)
+        made.append((keys, np.bincount(back, weights=n[deep], minlength=len(keys)).astype(np.int64)))
+    return np.concatenate([k for k, _ in made]), np.concatenate([c for _, c in made])
 
 
 class Trie:
@@ -147,20 +193,75 @@ class Trie:
         return out
 
 
-def fit(words: DataFrame, train_texts: int, max_entries: int) -> Trie:
-    """The trie of the most frequent entries, `max_entries` at most; what reaches the driver is bounded by that."""
-    counts = stage(trie_counts(words.where("c > 0")))
-    size, least = counts.count(), 0
-    if size > max_entries:
-        least = counts.approxQuantile("n", [1 - 0.95 * max_entries / size], 0.04 * max_entries / size)[0]
-    found = counts.where(F.col("n") > least).toArrow()
-    by = counts.groupBy(F.shiftright("entry", 8).alias("context")).agg(F.max("n").alias("most"), F.sum(F.when(F.col("n") <= least, F.col("n")).otherwise(0)).alias("lost"), F.count_if(F.col("n") == 1).alias("single"))
-    by = by.where(F.col("most") > least).select("context", (F.col("lost") + SINGLE * F.col("single")).alias("escapes")).toArrow()  # not more than entries
-    entry, n = found.column(0).to_numpy(), found.column(1).to_numpy()
-    if train_texts:  # the end of a text is a token of its own
-        ends = np.array([_entry(k, np.array([SPACE]), np.array([END]))[0] for k in (0, 1)])
-        entry, n = np.append(entry, ends), np.append(n, [train_texts] * 2)
-    return Trie(entry, n, by.column(0).to_numpy(), by.column(1).to_numpy())
+def trie_of(entry: np.ndarray, n: np.ndarray) -> Trie:
+    """The trie of whole contexts; escapes by their single symbols."""
+    context, back = np.unique(entry[n == 1] >> 8, return_counts=True)
+    return Trie(entry, n, context, SINGLE * back)
+
+
+def event_codes(counts: DataFrame) -> DataFrame:
+    """event, n, times -> event, times, code: the log10 of each event's probability, from all entries."""
+    spark = counts.sparkSession
+    made = []
+    for order in range(SPLIT):  # what bytes can make up, 256^SPLIT entries at most whatever the input
+        key = F.expr(f"shiftleft({order}L, 56) | (event & {(256 << 8 * order) - 1}L)")
+        rows = counts.where((F.col("n") > 0) & (F.shiftright("event", 56) >= order)).groupBy(key.alias("entry")).agg(F.sum("n").alias("n")).toArrow()
+        made.append((rows.column(0).to_numpy(), rows.column(1).to_numpy()))
+    short = spark.sparkContext.broadcast(tuple(np.concatenate(x) for x in zip(*made, strict=True)))
+
+    def coded(event, n, times):
+        entry, count = entries(event, n, SPLIT, ORDER + 1)
+        trie = trie_of(np.append(short.value[0], entry), np.append(short.value[1], count))
+        code = trie.log10(event & 255, (event >> 8) & _MASK[ORDER], event >> 56)
+        return pa.record_batch([pa.array(event), pa.array(times), pa.array(code)], ["event", "times", "code"])
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy() for i in range(4)]))
+            size += batch.num_rows
+            if size < GROUP:
+                continue
+            rows = np.concatenate(held, axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last group may go on
+            if cut:
+                yield coded(*rows[1:, :cut])
+            held, size = [rows[:, cut:]], rows.shape[1] - cut
+        if size:
+            yield coded(*np.concatenate(held, axis=1)[1:])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // GROUP)
+    rows = counts.select(F.expr(f"shiftright(event, 8) & {(1 << 8 * SPLIT) - 1}L").alias("g"), "event", "n", "times").repartition(parts, "g").sortWithinPartitions("g")
+    return rows.mapInArrow(run, "event long, times long, code double")
+
+
+class Lookup:
+    """Places of longs in a table of distinct longs, -1 where there is none: by one slot for each hash, then by bisection."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.slot = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.slot[self._hash(self.keys)] = np.arange(len(keys))
+
+    def _hash(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        at = self.slot[self._hash(wanted)].astype(np.int64)
+        other = np.flatnonzero(self.keys[at] != wanted)
+        at[other] = Trie._find(self.keys, wanted[other])
+        return at
+
+
+def most_frequent(rows: DataFrame, by: str, most: int, size: int):
+    """Rows of the greatest counts, about `most` at most, as an Arrow table."""
+    least = -1 if size <= most else rows.approxQuantile(by, [1 - 0.95 * most / size], 0.04 * most / size)[0]
+    return rows.where(F.col(by) > least).toArrow()
 
 
 def predicted(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,64 +288,68 @@ def predicted(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return right, np.bincount(own, weights=cost, minlength=len(count))
 
 
-def score(docs: DataFrame, max_entries: int = 1 << 20, frequent: int = 1 << 18) -> DataFrame:
-    """doc_id, text, train -> doc_id, train, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, frequent: int = 1 << 18, common: int = 1 << 21) -> DataFrame:
+    """doc_id, text, train -> doc_id, train, n_tokens, n_known, train_tokens, base_score, score. frequent, common: the tokens and events that are broadcast."""
     spark = docs.sparkSession
     words = stage(word_counts(docs))
     sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count("*").alias("all")).first()
     texts = docs.where("train").count()
     tokens, kinds = (sums["n"] or 0) + texts, sums["v"] + (texts > 0)
-    trie = fit(words, texts, max_entries)
-    held = spark.sparkContext.broadcast(trie)
     base = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
 
     def each_word(batches):
         for batch in batches:
-            c, column = batch.column(1).to_numpy(), batch.column(0)
-            _, offsets = text_bytes(column)
-            for low, high in row_chunks(offsets, 1 << 19):
-                part = column.slice(low, high - low)
-                data, at = text_bytes(part)
-                symbol, context, length, row = events(part)
-                code = np.bincount(row, weights=held.value.log10(symbol, context, length), minlength=high - low)
-                # a word has no white space, so it is its row's one word
-                yield pa.record_batch([pa.array(hashed_words(data, at)[0].view(np.int64)), pa.array(c[low:high]), pa.array(base(c[low:high].astype(float))), pa.array(code)], ["h", "c", "base", "code"])
-
-    scored = stage(words.mapInArrow(each_word, "h long, c long, base double, code double"))
-    least = -1 if sums["all"] <= frequent else scored.approxQuantile("c", [1 - 0.95 * frequent / sums["all"]], 0.04 * frequent / sums["all"])[0]
-    top = scored.where(F.col("c") > least).toArrow()
+            c = batch.column(1).to_numpy()
+            data, offsets = text_bytes(batch.column(0))
+            # a word has no white space, so it is its row's one word
+            yield pa.record_batch([pa.array(hashed_words(data, offsets)[0].view(np.int64)), pa.array(c), pa.array(base(c.astype(float)))], ["h", "c", "base"])
+
+    based = stage(words.mapInArrow(each_word, "h long, c long, base double"))
+    top = most_frequent(based, "c", frequent, sums["all"])
     key = top.column(0).to_numpy().view(np.uint64)
     order = np.argsort(key)
-    table = spark.sparkContext.broadcast((key[order], np.stack([top.column(1).to_numpy() > 0, top.column(2).to_numpy(), top.column(3).to_numpy()])[:, order]))
-    end = np.array([texts > 0, base(np.array([float(texts)]))[0], trie.log10(np.array([END]), np.array([SPACE]), np.array([1]))[0]], float)
-    full = docs.select("doc_id", "train", *[F.lit(0).cast(t).alias(c) for c, t in (("uid", "long"), ("n_tokens", "long"), ("k", "double"), ("b", "double"), ("s", "double"))], *[F.array().cast("array<long>").alias(c) for c in ("h", "n", "m")]).schema
+    table = spark.sparkContext.broadcast((key[order], np.stack([top.column(1).to_numpy() > 0, top.column(2).to_numpy()])[:, order]))
+    codes = stage(event_codes(stage(event_counts(docs))))
+    top = most_frequent(codes.select("event", "times", "code"), "times", common, codes.count())
+    key = top.column(0).to_numpy()
+    coded = spark.sparkContext.broadcast((Lookup(key), top.column(2).to_numpy()[np.argsort(key)]))
+    end = np.array([texts > 0, base(np.array([float(texts)]))[0]], float)
+    full = docs.select("doc_id", "train", *[F.lit(0).cast(t).alias(c) for c, t in (("uid", "long"), ("n_tokens", "long"), ("k", "double"), ("b", "double"), ("s", "double"))], *[F.array().cast("array<long>").alias(c) for c in ("h", "n", "e")]).schema
 
     def each_text(batches):
         keys, values = table.value
+        lookup, code = coded.value
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
-            for low, high in row_chunks(offsets):
-                words, _, _, rows = hashed_words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                row = np.repeat(np.arange(high - low), np.diff(rows))
+            for low, high, words, rows, event, token in text_symbols(batch.column(2)):
+                size = high - low
+                row = np.repeat(np.arange(size), np.diff(rows))
                 at = Trie._find(keys, words)
                 hit = at >= 0
                 right, cost = predicted(words, rows)
-                sums = [np.bincount(row[hit], weights=v[at[hit]], minlength=high - low) + e for v, e in zip(values[:2], end[:2], strict=True)]
-                coded = hit & ~right
-                sums.append(np.bincount(row[coded], weights=values[2][at[coded]], minlength=high - low) + end[2] + cost)
-                r, w, own = row[~hit], words[~hit], ~right[~hit]
+                sums = [np.bincount(row[hit], weights=v[at[hit]], minlength=size) + e for v, e in zip(values, end, strict=True)]
+                skip, whose = np.zeros(len(words) + size, bool), np.repeat(np.arange(size), np.diff(rows) + 1)
+                skip[np.arange(len(words)) + row] = right
+                take = ~skip[token]
+                event, text = event[take], whose[token[take]]
+                at = lookup.find(event)
+                there = at >= 0
+                sums.append(np.bincount(text[there], weights=code[at[there]], minlength=size) + cost)
+                event, text = event[~there], text[~there]
+                r, w = row[~hit], words[~hit]
                 order = np.lexsort((w, r))
-                r, w, own = r[order], w[order], own[order].astype(np.int64)
+                r, w = r[order], w[order]
                 first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))) if len(r) else r
                 times = np.diff(np.append(first, len(r)))
-                cuts = pa.array(np.searchsorted(r[first], np.arange(high - low + 1)).astype(np.int32))
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(uid + np.arange(high - low)), pa.array(np.diff(rows) + 1), *(pa.array(x) for x in sums), pa.ListArray.from_arrays(cuts, pa.array(w[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(np.add.reduceat(own, first) if len(r) else own))], names=full.names)
-                uid += high - low
+                cuts = lambda x: pa.array(np.searchsorted(x, np.arange(size + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts(x), pa.array(v)) for x, v in ((r[first], w[first].view(np.int64)), (r[first], times.astype(np.int64)), (text, event))]
+                part = batch.slice(low, size)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(uid + np.arange(size)), pa.array(np.diff(rows) + 1), *(pa.array(x) for x in sums), *lists], names=full.names)
+                uid += size
 
     rows = stage(docs.select("doc_id", "train", "text").mapInArrow(each_text, full))
-    rest = rows.select("uid", F.explode(F.arrays_zip("h", "n", "m")).alias("x")).select("uid", "x.h", "x.n", "x.m")
-    rest = rest.join(scored, "h").groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("base") * F.col("n")).alias("b2"), F.sum(F.col("code") * F.col("m")).alias("s2"))
+    rest = rows.select("uid", F.explode(F.arrays_zip("h", "n")).alias("x")).select("uid", "x.h", "x.n")
+    rest = rest.join(based, "h").groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("base") * F.col("n")).alias("b2"))
+    rare = rows.select("uid", F.explode("e").alias("event")).join(codes.select("event", "code"), "event").groupBy("uid").agg(F.sum("code").alias("s2"))
     more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return rows.join(rest, "uid", "left").select("doc_id", "train", "n_tokens", more("k", "k2").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), more("b", "b2").alias("base_score"), more("s", "s2").alias("score"))
+    return rows.join(rest, "uid", "left").join(rare, "uid", "left").select("doc_id", "train", "n_tokens", more("k", "k2").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), more("b", "b2").alias("base_score"), more("s", "s2").alias("score"))

@@ -185,6 +185,23 @@ def test_ppm_probabilities_sum_to_one():
         assert abs(total.sum() - 1) < 1e-9
 
 
+def ppm_brute(plain):
+    """Scores by one trie of all entries, without the adaptive part."""
+    made = [np.concatenate([e for *_, e, _ in ppm.text_symbols(pa.array([t], pa.large_string()))]) for t, _ in plain]
+    learn = np.concatenate([e for e, (_, train) in zip(made, plain, strict=True) if train])
+    trie = ppm.trie_of(*ppm.entries(*np.unique(learn, return_counts=True), 0, ppm.ORDER + 1))
+    return [trie.log10(e & 255, (e >> 8) & ppm._MASK[ppm.ORDER], e >> 56).sum() for e in made]
+
+
+def test_ppm_keeps_every_entry(spark):
+    rng = random.Random(3)
+    plain = [(" ".join(f"{rng.choice(WORDS)}{rng.randrange(900)}" for _ in range(30)), i % 4 != 0) for i in range(60)]
+    rows = spark.createDataFrame([(i, t, train) for i, (t, train) in enumerate(plain)], "doc_id long, text string, train boolean")
+    want = ppm_brute(plain)
+    for common in (5, 200, 1 << 21):
+        assert [r["score"] for r in ppm.score(rows, common=common).orderBy("doc_id").collect()] == pytest.approx(want)
+
+
 @pytest.mark.parametrize(("size", "num"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, size, num):
     base = [[f"w{RNG.randrange(500)}" for _ in range(RNG.randrange(3, 120))] for _ in range(25)]
