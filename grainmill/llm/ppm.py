@@ -3,8 +3,8 @@
 Pretrained model: the counts of the symbols that follow each byte context of up to `ORDER` bytes, learned from all
 training texts; all of them count, however rare. A symbol is coded in the longest known context; a context that does
 not hold it escapes to the next shorter one, where the symbols of the longer are excluded; last comes a uniform choice
-among the symbols never seen. Escapes are estimated from the symbols a context has seen once. A context starts at its
-token's first byte.
+among the symbols never seen. Escapes are estimated from the symbols a context has seen once. A context
+starts with its text and runs across tokens, between which there is one space.
 
 A symbol's code length depends on its event alone, which is its longest context and itself. The distinct events of all
 texts are a table with their counts. Events whose contexts end with the same `SPLIT` bytes share all longer contexts:
@@ -79,9 +79,7 @@ def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.nda
     fresh = np.zeros(len(text), bool)
     fresh[first] = fresh[at[1:] - 1] = True
     token = np.cumsum(fresh) - 1
-    begin = np.flatnonzero(fresh)
-    place = np.arange(len(text)) - begin[token] + 1
-    place[at[:-1]] = 0
+    place = np.arange(len(text)) - np.repeat(at[:-1], np.diff(at))
     length = np.minimum(place, ORDER)
     context = np.zeros(len(text), np.int64)
     for j in range(min(ORDER, len(text) - 1)):
@@ -92,7 +90,7 @@ def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.nda
 
 
 def events(column: pa.Array):
-    """`symbols` of these tokens, without text ends; numbered as the tokens."""
+    """`symbols` of these tokens, each a text, without text ends; numbered as the tokens."""
     data, offsets = text_bytes(column)
     n = len(offsets) - 1
     symbol, context, length, token = symbols(data, offsets[:-1], offsets[1:], np.arange(n + 1))

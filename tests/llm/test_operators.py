@@ -202,6 +202,13 @@ def test_ppm_keeps_every_entry(spark):
         assert [r["score"] for r in ppm.score(rows, common=common).orderBy("doc_id").collect()] == pytest.approx(want)
 
 
+def test_ppm_word_order_counts(spark):
+    plain = [("red fox runs far away", True)] * 20 + [("red fox runs far away", False), ("far red away runs fox", False)]
+    rows = spark.createDataFrame([(i, t, train) for i, (t, train) in enumerate(plain)], "doc_id long, text string, train boolean")
+    *_, known, mixed = [r["score"] for r in ppm.score(rows).orderBy("doc_id").collect()]
+    assert known > mixed + 1
+
+
 @pytest.mark.parametrize(("size", "num"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, size, num):
     base = [[f"w{RNG.randrange(500)}" for _ in range(RNG.randrange(3, 120))] for _ in range(25)]
