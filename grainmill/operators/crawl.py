@@ -65,7 +65,7 @@ class CrawlPlan:
     scope: Scope = field(default_factory=Scope)
     options: urls.UrlOptions = field(default_factory=urls.UrlOptions)
     max_depth: int = 5
-    max_pages: int = 1000
+    max_pages: int = 0  # 0: no limit
     wave: int = 1000
     policy: str = "priority"
     rate: float = 0.0
@@ -90,7 +90,7 @@ def crawl(start: DataFrame, pages: DataFrame, read_links: Callable[[DataFrame],
     while True:
         number += 1
         at = F.timestamp_seconds(F.lit(1_700_000_000 + number * max(1, int(plan.rate) + 1)))
-        most = min(plan.wave, plan.max_pages - spent)
+        most = min(plan.wave, plan.max_pages - spent) if plan.max_pages else plan.wave
         leased = settle(frontier.lease(todo, hosts, at, most, plan.policy, plan.rate).withColumn("wave", F.lit(number)))
         n = leased.count()
         if not n:
@@ -104,7 +104,7 @@ def crawl(start: DataFrame, pages: DataFrame, read_links: Callable[[DataFrame],
         new = frontier.add(todo, place(found).withColumn("discovered", at), ("job", "hash"))
         done = todo.join(leased.select("job", "hash", F.lit(True).alias("done")), ["job", "hash"], "left").withColumn("status", F.when(F.col("done"), "done").otherwise(F.col("status"))).drop("done")
         todo = settle(done.unionByName(new.select("job", "hash", "url", "host", "depth", "discovered", "score").withColumn("status", F.lit("waiting")).withColumn("ready_at", F.lit(None).cast("timestamp")).withColumn("attempts", F.lit(0))))
-        if spent >= plan.max_pages:
+        if plan.max_pages and spent >= plan.max_pages:
             return got, todo, "budget spent"
 
 

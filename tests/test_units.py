@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions import html, urls
-from grainmill.operators import classify, entities, extract, frontier, robots
+from grainmill.operators import classify, crawl, entities, extract, frontier, robots
 from grainmill.operators import records as R
 from grainmill.operators.scope import Scope, allows
 from grainmill.plans import job as J
@@ -141,3 +141,15 @@ def test_sinks(spark, tmp_path):
         tables.Layout(("url",))
     failed = tables.export(rows, {"bad": ((), lambda df: 1 / 0), "good": (("a",), lambda df: df.count())})
     assert list(failed) == ["bad"]
+
+
+def test_crawl_has_no_page_limit_by_default(spark):
+    start = spark.range(1203).selectExpr("concat('http://a.example.com/', id) as url")
+    pages = start.selectExpr("url", "200 as status", "url as body")
+    links = lambda rows: rows.withColumn("links", F.when(F.col("depth") < 1, F.array(F.concat("url", F.lit("/x")))).otherwise(F.array().cast("array<string>")))
+    plan = crawl.CrawlPlan(scope=Scope(domains=("example.com",)), wave=800)
+    answers, todo, how = crawl.crawl(start, pages, links, plan)
+    got = crawl.statistics(answers, todo).first().asDict()
+    assert how == "finished" and got == {"fetched": 1203, "missing": 1203, "failed": 0, "queued": 0}
+    plan.max_pages = 5
+    assert crawl.crawl(start, pages, links, plan)[2] == "budget spent"
