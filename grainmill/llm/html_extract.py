@@ -24,9 +24,10 @@ from .common import row_chunks, text_bytes
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object select".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("aside button dialog fieldset footer form head menu nav".split()) | RAW
+DROPPED = frozenset("aside button dialog fieldset footer form head menu nav object select".split()) | RAW | FOREIGN
 PARAGRAPH = frozenset("p pre blockquote td li dd h2 h3 h4 h5 h6 figcaption".split())
 CLOSES_P = BLOCK - frozenset("br body html head option tbody td tfoot th thead tr caption".split())
 #: An element that one of the same set ends, unless one of the second set stands between.
@@ -121,7 +122,7 @@ def parse(page: str) -> Node:
             here.kids.append(node)
         elif tag in BLOCK:
             here.kids.append(Node("br", here))
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or attributes.endswith("/") and (tag not in BLOCK and tag not in RAW or any(open_[t] for t in FOREIGN)):
             continue
         if tag in RAW:
             lower = lower or page.translate(_ASCII_LOWER)

@@ -318,3 +318,10 @@ def test_mixing(spark, docs, none):
         taken[by[r["doc_id"]]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 15 for s in sizes)
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(none).count() == 0
+
+
+@pytest.mark.parametrize("icon", ["<svg class='i' />", "<math/>", "<svg><svg><path d='M0'/></svg><text>no</text></svg>", "<svg><style/><title/></svg>", "<select><option>no</select>", "<object><object>no</object>no</object>"])
+def test_main_text_around_icons(icon):
+    text = "A sentence of the article, long enough to count, with its commas."
+    page = f"<body><article><p>{text}</p>{icon}<p>{text}</p></article></body>"
+    assert html_extract.extract(page) == f"{text} {text}"
