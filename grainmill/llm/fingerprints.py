@@ -1,8 +1,9 @@
 """Threshold-scaled document fingerprints.
 
-A sketch holds every hash of a text's five-word shingles below a fixed fraction of the hash space (the smallest hash if
-none is), so the sketch of a union is the union of sketches (`merge`), and what part of a short document lies in a very
-long one can be told from the two sketches (`containment`): a sketch grows with its text and is compared at one scale.
+A sketch holds every hash of a text's five-word shingles below a fixed fraction of the hash space, or all hashes of a
+text that has at most `WHOLE` or none below (then one lies above, which marks it as whole), so the sketch of a union is the union of sketches (`merge`), and what part of a short document lies in a very
+long one can be told from the two sketches (`containment`): a sketch grows with its text and is compared at the
+scale that both cover; a whole sketch with no hash below the fraction is not comparable with one that is not whole.
 
 Defined results: texts without words have an empty sketch; texts of fewer than five words are one shingle; the
 containment of two empty sketches is 1, of one empty sketch 0. Words are taken in lower case (A-Z).
@@ -22,10 +23,16 @@ from .common import hashed_shingles, hashed_words, row_chunks, text_bytes
 
 #: One hash in so many is kept.
 SCALE = 8
+#: Texts of at most so many distinct shingles keep all.
+WHOLE = 64
+
+
+def _below(hashes: np.ndarray, scale: int) -> np.ndarray:
+    return hashes[hashes <= np.uint64((1 << 64) // scale - 1)]
 
 
 def sketches(column: pa.Array, scale: int = SCALE, size: int = 5) -> list[np.ndarray]:
-    """Sorted distinct hashes below 2^64 / scale of each text."""
+    """Sorted distinct hashes below 2^64 / scale of each text, all of a text with few."""
     data, offsets = text_bytes(column)
     out: list[np.ndarray] = []
     limit = np.uint64((1 << 64) // scale - 1)
@@ -37,8 +44,9 @@ def sketches(column: pa.Array, scale: int = SCALE, size: int = 5) -> list[np.nda
         kept = hashes[kept]
         for i in range(high - low):
             own = kept[cut[i] : cut[i + 1]]
-            if not len(own) and begin[i + 1] > begin[i]:
-                own = hashes[begin[i] : begin[i + 1]].min(keepdims=True)
+            if len(own) <= WHOLE and begin[i + 1] > begin[i]:
+                every = np.unique(hashes[begin[i] : begin[i + 1]])
+                own = every if len(every) <= WHOLE or not len(own) else own
             out.append(np.unique(own))
     return out
 
@@ -46,14 +54,22 @@ def sketches(column: pa.Array, scale: int = SCALE, size: int = 5) -> list[np.nda
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of both texts' shingles together."""
     both = np.union1d(a, b)
-    low = both[both <= np.uint64((1 << 64) // scale - 1)]
-    return low if len(low) else both[:1]
+    parts = [x for x in (a, b) if len(x)]
+    low = _below(both, scale)
+    if all(len(_below(x, scale)) < len(x) for x in parts) and (len(both) <= WHOLE or not len(low)):
+        return both
+    return low
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """What part of the smaller sketch lies in the other."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float | None:
+    """What part of the smaller sketch lies in the other; None if they cover no common scale."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    low = _below(a, scale), _below(b, scale)
+    if len(low[0]) == len(a) or len(low[1]) == len(b):  # not both are known to be whole
+        a, b = low
+        if not len(a) or not len(b):
+            return None
     both = np.sort(np.concatenate([a, b]))
     return int((both[1:] == both[:-1]).sum()) / min(len(a), len(b))
 

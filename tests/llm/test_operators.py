@@ -325,3 +325,15 @@ def test_main_text_around_icons(icon):
     text = "A sentence of the article, long enough to count, with its commas."
     page = f"<body><article><p>{text}</p>{icon}<p>{text}</p></article></body>"
     assert html_extract.extract(page) == f"{text} {text}"
+
+
+def test_short_text_within_a_long_one():
+    long = [f"v{i}" for i in range(3000)]
+    short = [" ".join(long[i : i + n]) for i in range(0, 2000, 40) for n in (5, 10, 14, 20)]
+    whole, *found = fingerprints.sketches(pa.array([" ".join(long), *short]))
+    got = [fingerprints.containment(x, whole) for x in found]
+    assert set(got) == {1.0, None} and got.count(1.0) > len(got) / 2
+    assert all(fingerprints.merge(x, whole).tolist() == whole.tolist() for x in found)
+    half, = fingerprints.sketches(pa.array([" ".join(long[:8] + ["x"] * 2)]))
+    full, = fingerprints.sketches(pa.array([" ".join(long[:10])]))
+    assert fingerprints.containment(half, full) == 4 / 6
