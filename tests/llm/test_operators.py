@@ -1,7 +1,9 @@
 """Operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows and empty tables."""
 
 import collections
+import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -12,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.llm import ann, common, fingerprints, html_extract, language_id, mixing, near_dups, packing, ppm, token_counts, warc
+from grainmill.llm import ann, common, fingerprints, html_extract, language_id, mixing, near_dups, packing, ppm, queries, token_counts, warc
 
 RNG = random.Random(5)
 WORDS = ["the", "Of", "and", "Überfluß", "naïve", "x1", "日本", "end."]
@@ -81,6 +83,56 @@ def test_fingerprints(docs, none):
     assert fingerprints.with_next(docs, pairs, "a long, b long").count() == docs.count()
 
 
+def write_documents(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_fingerprint_query_by_brute_force(spark, tmp_path):
+    base = [" ".join(f"w{RNG.randrange(300)}" for _ in range(RNG.choice([3, 9, 40, 70, 400]))) for _ in range(40)]
+    made = [*ODD, *base, base[3] + " " + base[4], " ".join(base)]
+    ids = [*range(20), *((1 << 60) + i for i in range(len(made) - 24)), -5, -(1 << 62), (1 << 63) - 1, -(1 << 63)]
+    RNG.shuffle(ids)
+    path = write_documents(spark, tmp_path, [(i, t, None, None) for i, t in zip(ids, made, strict=True)])
+    got = {r["doc_id"]: r for r in queries.op1_fingerprints(spark, path).collect()}
+    by = dict(zip(ids, [t or "" for t in made], strict=True))
+    order = sorted(ids, reverse=True)
+
+    def hashes(text):
+        return {int(fingerprints.sketches(pa.array([" ".join(x)]), 1)[0][0]) for x in shingles(text, 5)}
+
+    def sketch(text):
+        every = hashes(text)
+        low = {h for h in every if h <= (1 << 64) // fingerprints.SCALE - 1}
+        return every if len(every) <= fingerprints.WHOLE or not low else low
+
+    def likeness(a, b):
+        if not a or not b:
+            return float(a == b)
+        low = lambda x: {h for h in x if h <= (1 << 64) // fingerprints.SCALE - 1}
+        if low(a) == a or low(b) == b:
+            a, b = low(a), low(b)
+        return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+    text = lambda x: "".join(f"{h:016x}" for h in sorted(x))
+    for i, after in zip(order, order[1:] + order[:1], strict=True):
+        t, n = by[i], by[after]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        r = got.pop(i)
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == text(sketch(t)) and r["edited_fingerprint"] == text(sketch(edited))
+        assert (r["near_edited"], r["near_next"]) == (likeness(sketch(t), sketch(edited)), likeness(sketch(t), sketch(n)))
+    assert not got
+
+
+def test_a_short_text_is_found_in_a_long_one():
+    long = [f"w{i}" for i in range(3009)]
+    parts = [" ".join(long[9 * i : 9 * i + 9]) for i in range(334)]
+    whole, *each = fingerprints.sketches(pa.array([" ".join(long), *parts]))
+    near = [fingerprints.containment(whole, x) for x in each]
+    assert {x for x in near if x is not None} == {1.0} and sum(x is not None for x in near) > 100
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "x" * 150
     pages = [(1, "http://a/b c\r\nX: y", long), (2, "http://a/2", long), (3, None, None), (4, "http://a/4", "short\r\n\r\nWARC/1.1\r\n"), (5, "http://a/5", "short"), (5, "http://a/5", "short"), (0, "http://a/0", "é" * 90)]
@@ -99,8 +151,44 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_reads_broken_archives():
     good = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
-    assert [b for _, _, b in warc.parse(good + b"WARC/1.0\r\nContent-Length: x\r\n\r\n" + good)] == [b"ok", b"ok"]
-    assert [b for _, _, b in warc.parse(good + b"WARC/1.0\r\nContent-Length: 99\r\n\r\nab\r\n\r\n" + good)] == [b"ok", b"ok"]
+    for size in (1, 7, 1000):
+        read = lambda data: [b for _, _, b in warc.parse(data[i : i + size] for i in range(0, len(data), size))]  # noqa: B023, E731
+        assert read(good + b"WARC/1.0\r\nContent-Length: x\r\n\r\n" + good) == [b"ok", b"ok"]
+        assert read(good + b"WARC/1.0\r\nContent-Length: 99\r\n\r\nab\r\n\r\n" + good) == [b"ok", b"ok"]
+        assert read(b"") == read(b"x" * 50) == []
+        assert [p for p, _, _ in warc.parse([good, good])] == [0, len(good) - 4]
+    members = gzip.compress(good) + gzip.compress(good * 3)
+    assert [b for _, _, b in warc.parse(warc.inflated(members, 5))] == [b"ok"] * 4
+    assert [b for _, _, b in warc.parse(warc.inflated(members[:-30]))][:1] == [b"ok"]
+
+
+def test_warc_assembly(spark):
+    def record(name, kind, *to):
+        return (name, kind, list(to), None, "u", "d", None, None, None, 1, "s", {"f": name or ""} if kind == "metadata" else {}, "a", next(count), b"x")
+
+    count = itertools.count()
+    found = [record("c1", "response"), record("c2", "resource", "r9"), record("r1", "request", "a-missing", "c1"), record("r2", "request", "c1", "c2"), record("m1", "metadata", "r1"), record("r9", "request")]
+    found += [record(f"x{i}", "other", f"x{i + 1}") for i in range(6)] + [record("x6", "other", "c2"), record("y1", "request", "y2"), record("y2", "other", "y1"), record("lost", "metadata", "no-such")]
+    found += [record(None, "request"), record(None, "request"), record("t", None, "c1"), record(None, None, "c2"), record("c1", "response")]
+    got = warc.assemble(spark.createDataFrame(found, warc.RECORD)).collect()
+    rows = [(r["capture_id"], r["capture"] is not None, [x["record_id"] for x in r["requests"]], [x["record_id"] for x in r["others"]], (r["metadata"] or {}).get("f")) for r in got]
+    one = ("c1", True, ["r1", "r2"], ["m1", "t"], "m1")
+    assert sorted(map(repr, rows)) == sorted(map(repr, [
+        one, one, ("c2", True, ["r2", "r9"], [None, *(f"x{i}" for i in range(7))], None),
+        ("y1", False, [], ["y2"], None), ("y2", False, ["y1"], [], None), ("no-such", False, [], ["lost"], "lost"),
+        ("a|16", False, [None], [], None), ("a|17", False, [None], [], None),
+    ]))
+    assert warc.assemble(spark.createDataFrame([], warc.RECORD)).count() == 0
+
+
+def test_warc_odd_pages(spark, tmp_path):
+    schema = "page_id long, url string, html string, body string, key string"
+    pages = [(None, "http://a/", "p" * 120, "", ""), (None, None, None, "", ""), (3, "http://a/3", "p" * 120, "", ""), (4, "http://a/4", "é" * 3_000_000, "", "")]
+    warc.write(spark.createDataFrame(pages, schema), str(tmp_path / "w"))
+    got = warc.captures(spark, str(tmp_path / "w")).collect()
+    assert sorted((r["metadata"]["page_id"], r["capture"]["record_type"], (r["original"] or r["capture"])["payload_bytes"]) for r in got) == [("", "response", 0), ("", "revisit", 120), ("3", "response", 120), ("4", "response", 6_000_000)]
+    warc.write(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert warc.captures(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_nearest(spark):
@@ -171,35 +259,100 @@ def test_ppm(docs, none):
     assert ppm.score(none.withColumn("train", F.lit(True))).count() == 0
 
 
-def test_ppm_probabilities_sum_to_one():
-    words_ = pa.array(["abc", "abd", "b", "abcabc"])
-    counts = collections.Counter()
-    for s, c, length, _ in zip(*ppm.events(words_), strict=True):
-        for k in range(int(length) + 1):
-            counts[int(ppm._entry(k, np.array([c]), np.array([s]))[0])] += 1
-    entry = np.array(sorted(counts))
-    trie = ppm.Trie(entry, np.array([counts[int(e)] for e in entry]), np.zeros(0, np.int64), np.zeros(0))
-    for text in (b" ", b" a", b" ab", b" zz"):
-        context = sum(x << (8 * i) for i, x in enumerate(text[::-1]))
-        total = 10 ** trie.log10(np.arange(256), np.full(256, context), np.full(256, len(text)))
-        assert abs(total.sum() - 1) < 1e-9
+def ppm_entries(plain):
+    """Counts of (context, symbol) for all contexts of up to ORDER bytes, from the texts for training."""
+    out = collections.defaultdict(collections.Counter)
+    for t, train in plain:
+        s = ppm_symbols(t)
+        for i in range(1, len(s) if train else 0):
+            for k in range(min(i, ppm.ORDER) + 1):
+                out[s[i - k : i]][s[i]] += 1
+    return out
+
+
+def ppm_symbols(t) -> bytes:
+    return " ".join(["", *words(t), ""]).encode() + b"\n" if words(t) else b" \n"
+
+
+def ppm_coded(trie, context: bytes, symbol: int) -> float:
+    """log10 of a symbol's probability: escapes by single symbols, exclusion of what longer contexts hold."""
+    out, gone = 0.0, set()
+    for k in range(min(len(context), ppm.ORDER), -1, -1):
+        held = trie.get(context[len(context) - k :])
+        if held is None:
+            continue
+        open_ = {s: n for s, n in held.items() if s not in gone}
+        if open_:
+            escape = ppm.NEW + ppm.SINGLE * sum(n == 1 for n in held.values())
+            total = sum(open_.values()) + escape
+            if symbol in open_:
+                return out + math.log10(open_[symbol] / total)
+            out += math.log10(escape / total)
+        gone = set(held)
+    return out - math.log10(max(1, 256 - len(gone)))
 
 
 def ppm_brute(plain):
-    """Scores by one trie of all entries, without the adaptive part."""
-    made = [np.concatenate([e for *_, e, _ in ppm.text_symbols(pa.array([t], pa.large_string()))]) for t, _ in plain]
-    learn = np.concatenate([e for e, (_, train) in zip(made, plain, strict=True) if train])
-    trie = ppm.trie_of(*ppm.entries(*np.unique(learn, return_counts=True), 0, ppm.ORDER + 1))
-    return [trie.log10(e & 255, (e >> 8) & ppm._MASK[ppm.ORDER], e >> 56).sum() for e in made]
+    """Scores by a trie of dictionaries, symbol by symbol, and the prediction of repeats, token by token."""
+    trie, out = ppm_entries(plain), []
+    for t, _ in plain:
+        s, w, total, at = ppm_symbols(t), words(t), 0.0, 1
+        last, tried, good = {}, 0, 0
+        for i, word in enumerate([*(x.encode() + b" " for x in w), b"\n"]):
+            key, right = tuple(w[i - ppm.BACK : i]) if ppm.BACK <= i < len(w) else None, False
+            if key in last and key:
+                right = last[key] == w[i]
+                total += math.log10((good + ppm.HELD if right else tried - good + ppm.FAILED) / (tried + ppm.HELD + ppm.FAILED))
+                tried, good = tried + 1, good + right
+            if key:
+                last[key] = w[i]
+            if not right:
+                total += sum(ppm_coded(trie, s[max(0, j - ppm.ORDER) : j], s[j]) for j in range(at, at + len(word)))
+            at += len(word)
+        out.append(total)
+    return out
+
+
+def test_ppm_probabilities_sum_to_one():
+    trie = ppm_entries([("abc abd b abcabc", True)])
+    event = np.array([ppm._entry(len(c), np.array([sum(x << (8 * i) for i, x in enumerate(c[::-1]))]), np.array([s]))[0] for c in trie for s in trie[c]])
+    n = np.array([x for c in trie.values() for x in c.values()])
+    made = ppm.trie_of(event, n)
+    for text in (b" ", b" a", b" ab", b" zz"):
+        context = sum(x << (8 * i) for i, x in enumerate(text[::-1]))
+        got = made.log10(np.arange(256), np.full(256, context), np.full(256, len(text)))
+        assert abs((10**got).sum() - 1) < 1e-9
+        assert got == pytest.approx([ppm_coded(trie, text, s) for s in range(256)])
 
 
-def test_ppm_keeps_every_entry(spark):
+def test_ppm_is_the_brute_force_model(spark):
     rng = random.Random(3)
-    plain = [(" ".join(f"{rng.choice(WORDS)}{rng.randrange(900)}" for _ in range(30)), i % 4 != 0) for i in range(60)]
+    plain = [(t, i % 3 != 0) for i, t in enumerate(ODD)] + [(" ".join(f"{rng.choice(WORDS)}{rng.randrange(9 if i % 2 else 900)}" for _ in range(50)), i % 4 != 0) for i in range(50)]
     rows = spark.createDataFrame([(i, t, train) for i, (t, train) in enumerate(plain)], "doc_id long, text string, train boolean")
     want = ppm_brute(plain)
     for common in (5, 200, 1 << 21):
-        assert [r["score"] for r in ppm.score(rows, common=common).orderBy("doc_id").collect()] == pytest.approx(want)
+        assert [r["score"] for r in ppm.score(rows, common=common).orderBy("doc_id").collect()] == pytest.approx(want, rel=1e-9)
+
+
+def test_ppm_windows_and_tallies_change_nothing(monkeypatch):
+    column = pa.array(texts())
+    whole = [(t.events(0, len(t.text)), t.words()) for _, _, t in ppm.texts_of(column)]
+    monkeypatch.setattr(ppm, "WINDOW", 50)
+    small = [([t.events(a, b) for a, b in t.windows()], t.words()) for _, _, t in ppm.texts_of(column)]
+    assert np.concatenate([e[c] for (e, c), _ in whole]).tolist() == np.concatenate([e[c] for x, _ in small for e, c in x]).tolist()
+    assert np.concatenate([c for (_, c), _ in whole]).tolist() == np.concatenate([c for x, _ in small for _, c in x]).tolist()
+    assert np.concatenate([w for _, w in whole]).tolist() == np.concatenate([w for _, w in small]).tolist()
+    spelled = [w for t in column.to_pylist() for w in words(t)]
+    got = np.concatenate([w for _, w in whole]).tolist()
+    assert len(got) == len(spelled) and len(set(got)) == len(set(spelled)) == len(set(zip(got, spelled, strict=True)))
+    tally = ppm.Tally()
+    for part in ([3, 1, 3], [2, 3], []):
+        tally.add(np.array(part, np.int64), 1)
+    tally.add(np.array([9], np.int64), 0)
+    assert [x.tolist() for x in tally.given()] == [[1, 2, 3, 9], [1, 1, 3, 0]]
+    keys = np.random.default_rng(1).integers(-(1 << 60), 1 << 60, 5000)
+    found = ppm.Lookup(keys).find(np.concatenate([keys[::-1], keys + 1]))
+    assert found.tolist() == [*range(4999, -1, -1), *[-1] * 5000]
 
 
 def test_ppm_word_order_counts(spark):
