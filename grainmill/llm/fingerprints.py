@@ -104,14 +104,15 @@ def with_next(docs: DataFrame, f: Callable, schema: str, text: str = "text", doc
     """
     spark = docs.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(-F.col(doc_id).cast("double"), F.lit(float("inf"))).alias("place"))
-    cuts = sorted({x for x in rows.select("place").where(F.col("place") < float("inf")).approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.2 / ranges)})
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.bitwise_not(F.col(doc_id).cast("long")).cast("double"), F.lit(float("inf"))).alias("near"), F.struct(F.col(doc_id).isNull().alias("void"), F.bitwise_not(F.col(doc_id).cast("long")).alias("down")).alias("place"))
+    cuts = sorted({x for x in rows.select("near").where(F.col("near") < float("inf")).approxQuantile("near", [i / ranges for i in range(1, ranges)], 0.2 / ranges)})
     if cuts:
-        rows = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="range").transform(rows).withColumn("range", F.col("range").cast("int"))
+        rows = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="near", outputCol="range").transform(rows).withColumn("range", F.col("range").cast("int"))
     else:
         rows = rows.withColumn("range", F.lit(0))
+    # ranges are cut by ids as doubles, which may take neighbouring long ids for equal but never out of order; within a range the ids themselves decide
     first = sorted((r["range"], r["top"]) for r in rows.groupBy("range").agg(F.min("place").alias("top")).collect())  # a row for each range
-    lent = spark.createDataFrame([(r, top, first[i - 1][0]) for i, (r, top) in enumerate(first)], "r int, top double, lender int")
+    lent = spark.createDataFrame([(r, top, first[i - 1][0]) for i, (r, top) in enumerate(first)], "r int, top struct<void: boolean, down: long>, lender int")
     rows = rows.join(F.broadcast(lent), F.col("range") == F.col("r"))
     own, loan = F.struct(F.col("range").alias("to"), F.lit(False).alias("lent")), F.struct(F.col("lender").alias("to"), F.lit(True).alias("lent"))
     rows = rows.withColumn("h", F.xxhash64("text")).select("id", "text", "place", "h", F.explode(F.when(F.col("place") == F.col("top"), F.array(own, loan)).otherwise(F.array(own))).alias("x"))

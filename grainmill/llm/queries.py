@@ -13,6 +13,8 @@ from .common import read, remainder, shared_dir
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness is containment; 0 where two sketches cover no common scale, so nothing in them is shared."""
+
     def compare(ids: list, texts: list) -> pa.RecordBatch:
         n = len(ids) - 1
         edited = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts[:-1], texts[1:], strict=True)]
@@ -24,8 +26,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
                 "fingerprint": pa.array([fingerprints.as_text(s) for s in own[:n]], pa.string()),
                 "edited_fingerprint": pa.array([fingerprints.as_text(s) for s in other], pa.string()),
-                "near_edited": pa.array([fingerprints.containment(a, b) for a, b in zip(own, other, strict=False)], pa.float64()),
-                "near_next": pa.array([fingerprints.containment(a, b) for a, b in zip(own[:-1], own[1:], strict=True)], pa.float64()),
+                "near_edited": pa.array([fingerprints.containment(a, b) or 0.0 for a, b in zip(own, other, strict=False)], pa.float64()),
+                "near_next": pa.array([fingerprints.containment(a, b) or 0.0 for a, b in zip(own[:-1], own[1:], strict=True)], pa.float64()),
             }
         )
 
