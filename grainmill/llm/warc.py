@@ -4,13 +4,16 @@ Writing: each row becomes a request, a response (or a revisit of an earlier equa
 name each other through WARC-Concurrent-To. The records are SQL expressions and leave by Spark's text writer, whose
 line separator is the end of a record, so archives are committed as any table is, to any file system.
 
-Reading: whole archives are framed by Content-Length, member by member if compressed; a broken header skips to the next
-record. Assembly: records that are no captures find theirs through their concurrent-to identifiers (also through one
-another, and where the capture names them), then one nested row is made for each capture.
+Reading: archives are inflated as they are read, member by member, and framed by Content-Length; a broken header skips
+to the next record. Assembly: records that are no captures find theirs through all their concurrent-to identifiers
+(also through one another, over chains of any length, and where the capture names them), then one nested row is made
+for each capture; a record that leads to several captures stands in each of their rows.
 
 Defined results: null payloads are empty ones; control characters and spaces in URLs are percent-encoded, a null URL is
 left out; rows that repeat id and payload are captures of their own, only the first of them is referred to; records
-whose identifiers lead to no capture form rows with a null capture.
+whose identifiers lead to no capture form rows with a null capture, by the least identifier they name, else their own,
+else each its own; records without a type are no captures, and stand among `others`. No archive and an archive without
+records give no rows.
 """
 
 from __future__ import annotations
@@ -50,11 +53,12 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     """Archives of all rows at `path`. Of rows with equal payloads of at least `least` bytes, that with the smallest id is the response, the others revisit it."""
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("sha", F.sha2(F.col("body").cast("binary"), 256))
+    # by id and payload, not by payload: one that a third of all rows share does not meet in one task
+    rows = rows.withColumn("key", F.concat_ws("|", "id", "sha"))
     same = rows.where(F.octet_length("body") >= least).select("id", "sha").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = rows.select("id", "sha").join(same, "sha").groupBy("id", "sha").agg(F.first("first").alias("first")).withColumnRenamed("id", "id2").withColumnRenamed("sha", "sha2")
-    # by id, not by payload: a payload that a third of all rows share does not meet in one task
-    rows = rows.join(stage(again), F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2")), "left")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "sha").orderBy("url")))
+    again = rows.select("key", "sha").join(same, "sha").groupBy(F.col("key").alias("key2")).agg(F.first("first").alias("first"))
+    # repeated rows are numbered once the join has brought them together: bodies are shuffled once
+    rows = rows.join(stage(again), F.col("key") == F.col("key2"), "left").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     escaped = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     capture = lambda i, n: _uuid(F.lit("capture"), i, F.col("sha"), n)
@@ -73,21 +77,27 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     rows.select(F.concat_ws(END, *records).alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def inflate(data: bytes) -> bytes:
-    """All gzip members of the data, a cut last one as far as it goes; data that is not compressed as it is."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
+def inflated(data: bytes, step: int = 1 << 20):
+    """The content in pieces: of all gzip members, a cut last one as far as it goes; data that is not compressed as it is."""
+    view, at = memoryview(data), 0
+    if data[:2] != GZIP:
+        yield data
+        return
+    while data[at : at + 2] == GZIP:
         one = zlib.decompressobj(31)
-        try:
-            out.append(one.decompress(data))
-        except zlib.error:
-            break
-        data = one.unused_data
-    return b"".join(out)
-
-
+        while at < len(data) and not one.eof:
+            try:
+                piece = one.decompress(view[at : at + step])
+            except zlib.error:
+                return
+            at += len(view[at : at + step]) - len(one.unused_data)
+            if piece:
+                yield piece
+
+
+GZIP = b"\x1f\x8b"
+_STATUS = re.compile(rb"HTTP/\S+ (\d{3})")
+_PLAIN = ("warc-refers-to", "warc-target-uri", "warc-date", "warc-profile", "warc-payload-digest")
 _HEADER = re.compile(rb"\s*WARC/\d+\.\d+\r?\n(.*?)\r?\n\r?\n", re.S)
 
 
@@ -97,81 +107,126 @@ def _named(block: bytes) -> list[tuple[str, str]]:
     return [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines if ":" in x)]
 
 
-def parse(data: bytes):
-    """(position, header lines, block) of each record."""
-    at = 0
-    while m := _HEADER.match(data, at):
-        named = _named(m[1])
-        size = next((v for k, v in named if k == "content-length"), "")
-        if size.isdigit() and m.end() + int(size) <= len(data):
-            yield m.start(), named, data[m.end() : m.end() + int(size)]
-            at = m.end() + int(size)
-        else:
-            at = m.end()
-        if not _HEADER.match(data, at):
-            at = next((x.start() + 1 for x in re.compile(rb"\nWARC/\d").finditer(data, at)), len(data))
+_NEXT = re.compile(rb"\nWARC/\d")
+
+
+def parse(pieces, most_header: int = 1 << 20):
+    """(position, header lines, block) of each record in this content, given in pieces; holds little more than a record."""
+    data, at, gone, pieces = b"", 0, 0, iter(pieces)
+
+    def more(n: int) -> bool:
+        """Whether n bytes follow the place, once as many pieces are read."""
+        nonlocal data, at, gone
+        if len(data) - at < n:
+            parts, size = [data[at:]], len(data) - at
+            while size < n and (piece := next(pieces, None)) is not None:
+                parts.append(piece)
+                size += len(piece)
+            gone, at, data = gone + at, 0, b"".join(parts)
+        return len(data) - at >= n
+
+    def header():
+        for n in (1 << 12, most_header):
+            whole = more(n)
+            if (m := _HEADER.match(data, at)) or not whole:
+                return m
+        return None
+
+    m = header()
+    while True:
+        if m:
+            named = _named(m[1])
+            size = next((v for k, v in named if k == "content-length"), "")
+            length, start = m.end() - at, gone + at
+            if size.isdigit() and more(length + int(size)):
+                yield start, named, data[at + length : at + length + int(size)]
+                at += length + int(size)
+            else:
+                at += length
+            if m := header():
+                continue
+        while not (found := _NEXT.search(data, at)):  # broken: on to what looks like the next record
+            at = max(at, len(data) - 8)
+            if not more(len(data) - at + 1):
+                return
+        at = found.start() + 1
+        m = header()
 
 
 def records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row for each record of the archives; payload: whether its bytes are returned besides their number and digest."""
     names = [x.split()[0] for x in RECORD.split(", ")]
-    schema = spark.createDataFrame([], RECORD).schema
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 5, pa.int32(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.binary()]
+
+    def given(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
-        arrow = pa.schema([(n, t) for n, t in zip(names, [pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 5, pa.int32(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.binary()], strict=True)])
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held, size = [], 0
-                for position, named, block in parse(inflate(content.as_py())):
+                for position, named, block in parse(inflated(content.as_py())):
                     one = dict(reversed(named))
-                    body, status = block, None
-                    if "application/http" in one.get("content-type", ""):
+                    body, status, media = block, None, one.get("content-type", "")
+                    if "application/http" in media:
                         head, _, body = block.partition(b"\r\n\r\n")
-                        m = re.match(rb"HTTP/\S+ (\d{3})", head)
+                        m = _STATUS.match(head)
                         status = int(m[1]) if m else None
-                    held.append({
-                        "record_id": one.get("warc-record-id"), "record_type": one.get("warc-type"), "concurrent_to": [v for k, v in named if k == "warc-concurrent-to"], "refers_to": one.get("warc-refers-to"),
-                        "target_uri": one.get("warc-target-uri"), "date": one.get("warc-date"), "profile": one.get("warc-profile"), "header_digest": one.get("warc-payload-digest"), "status": status,
-                        "payload_bytes": len(body), "payload_sha256": hashlib.sha256(body).hexdigest(), "fields": dict(_named(body)) if one.get("content-type", "").startswith("application/warc-fields") else {},
-                        "archive": name, "position": position, "payload": body if payload else None,
-                    })
+                    fields = list(dict(_named(body)).items()) if media.startswith("application/warc-fields") else []
+                    held.append((one.get("warc-record-id"), one.get("warc-type"), [v for k, v in named if k == "warc-concurrent-to"], *(one.get(k) for k in _PLAIN), status, len(body), hashlib.sha256(body).hexdigest(), fields, name, position, body if payload else None))
                     size += len(body)
                     if size > 4 << 20 or len(held) >= 4096:
-                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                        yield given(held)
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    yield given(held)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORD)
+
+
+def reached(found: DataFrame) -> DataFrame:
+    """rid, capture: every capture that each other record leads to. found: rid, record_type, concurrent_to."""
+    own = is_capture()
+    ids = found.select("rid", F.explode("concurrent_to").alias("to"), own.alias("own"))
+    captures = found.where(own).select(F.col("rid").alias("c"), F.lit(True).alias("there")).distinct()
+    links = ids.where("not own").select("rid", "to").unionByName(ids.where("own").select(F.col("to").alias("rid"), F.col("rid").alias("to"))).distinct()
+    links = stage(links.join(captures, F.col("to") == F.col("c"), "left").select("rid", "to", F.col("there").isNotNull().alias("there")))
+    known, inner = links.where("there").select("rid", F.col("to").alias("capture")), links.where("not there").select("rid", "to")
+    new = known
+    while not inner.isEmpty():  # a link further each time, until nothing new is found
+        ahead = inner.join(new.select(F.col("rid").alias("via"), "capture"), F.col("to") == F.col("via")).select("rid", "capture").distinct()
+        new = stage(ahead.join(known, ["rid", "capture"], "left_anti"))
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    return known
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+def is_capture() -> Column:
+    return F.coalesce(F.col("record_type").isin(*CAPTURES), F.lit(False))
 
 
-def assemble(found: DataFrame, hops: int = 2) -> DataFrame:
-    """capture_id, capture, requests, metadata, others: a nested row for each capture. hops: doublings of the identifier chains that are followed."""
+def assemble(found: DataFrame) -> DataFrame:
+    """capture_id, capture, requests, metadata, others: a nested row for each capture; metadata holds the fields of the first metadata record. found is read more than once."""
     names = [c for c in found.columns if c != "record_id"]
-    is_capture = F.col("record_type").isin(*CAPTURES)
-    ids = found.select("record_id", "concurrent_to", is_capture.alias("is_capture"))
-    link = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("to"))
-    out = ids.where(~F.col("is_capture")).select("record_id", F.explode("concurrent_to").alias("to")).select(link("record_id", "to").alias("x"))
-    back = ids.where("is_capture").select("record_id", F.explode("concurrent_to").alias("to")).select(link("to", "record_id").alias("x"))
-    links = out.unionByName(back).select("x.*").groupBy("id").agg(F.min("to").alias("to"))
-    for _ in range(hops):
-        on = links.select(F.col("id").alias("via"), F.col("to").alias("next"))
-        links = links.join(on, F.col("to") == F.col("via"), "left").select("id", F.coalesce(F.when(F.col("next") != F.col("id"), F.col("next")), F.col("to")).alias("to"))
-    keyed = found.join(links, F.col("record_id") == F.col("id"), "left")
-    keyed = keyed.withColumn("capture_id", F.when(is_capture, F.col("record_id")).otherwise(F.coalesce("to", "record_id")))
-    whole = F.struct("record_id", *names)
-    some = lambda when: F.sort_array(F.collect_list(F.when(when, F.struct("record_id", *[n for n in names if n != "fields"]))))
-    kind = F.col("record_type")
-    return keyed.groupBy("capture_id").agg(
-        F.first(F.when(is_capture, whole), ignorenulls=True).alias("capture"),
-        some(kind == "request").alias("requests"),
-        F.first(F.when(kind == "metadata", F.col("fields")), ignorenulls=True).alias("metadata"),
-        some(~is_capture & ~kind.isin("request")).alias("others"),
-    )
+    brief = F.struct("record_id", *[n for n in names if n != "fields"])
+    kind = F.coalesce("record_type", F.lit(""))
+    found = found.withColumn("rid", F.coalesce("record_id", F.concat_ws("|", "archive", "position")))
+    to = reached(found).withColumnRenamed("rid", "from")
+    rest = found.where(~is_capture()).join(to, F.col("rid") == F.col("from"), "left")
+    rest = rest.withColumn("key", F.coalesce("capture", F.array_min("concurrent_to"), "rid")).withColumn("lost", F.col("capture").isNull())
+    some = lambda when: F.sort_array(F.collect_list(F.when(when, brief)))
+    order = F.struct("rid", "archive", "position")
+    with_each = rest.groupBy("key", "lost").agg(some(kind == "request").alias("requests"), F.min_by("fields", F.when(kind == "metadata", order)).alias("metadata"), some(kind != "request").alias("others"))
+    own = found.where(is_capture()).select("rid", F.col("record_id").alias("capture_id"), F.struct("record_id", *names).alias("capture"))
+    nothing = F.array().cast(with_each.schema["others"].dataType)
+    out = own.join(with_each.where("not lost"), F.col("rid") == F.col("key"), "left").select("capture_id", "capture", F.coalesce("requests", nothing).alias("requests"), "metadata", F.coalesce("others", nothing).alias("others"))
+    lost = with_each.where("lost").select(F.col("key").alias("capture_id"), F.lit(None).cast(own.schema["capture"].dataType).alias("capture"), "requests", "metadata", "others")
+    return out.unionByName(lost)
 
 
 def captures(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The archives' nested captures; a revisit's payload_bytes and payload_sha256 are those of the response it refers to."""
-    rows = stage(assemble(records(spark, path, payload)))
+    rows = stage(assemble(stage(records(spark, path, payload))))
     known = rows.where(F.col("capture.record_type") == "response").select(F.col("capture_id").alias("r_id"), F.struct("capture.payload_bytes", "capture.payload_sha256", "metadata").alias("original"))
     return rows.join(known, F.col("capture.refers_to") == F.col("r_id"), "left").drop("r_id")
