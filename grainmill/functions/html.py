@@ -163,73 +163,127 @@ def linked_values(data, into: dict[str, str]) -> None:
         level = deeper
 
 
-# Selectors: groups of compound parts with descendant and child combinators.
-_COMPOUND = re.compile(r"""([a-zA-Z][\w-]*|\*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]|:(first-child|last-child|nth-child)(?:\((\d+)\))?""")
+# Selectors: groups of compound parts, joined by descendant, child, next and later sibling combinators.
+_SIMPLE = re.compile(r"""([a-zA-Z][\w-]*|\*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]|:(not)\(|:(first-child|last-child|only-child|empty|first-of-type|last-of-type)(?!\()|:(nth-child|nth-of-type)\(\s*([^)]*?)\s*\)""")
+_COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
+_NTH = re.compile(r"(?:([+-]?\d*)n)?\s*([+-]?\s*\d+)?")
+
+
+def _nth(text: str) -> tuple[int, int] | None:
+    """a and b of an+b."""
+    text = {"odd": "2n+1", "even": "2n"}.get(text.lower(), text.lower())
+    m = _NTH.fullmatch(text)
+    if not text or not m:
+        return None
+    step = 0 if "n" not in text else int((m[1] or "") + "1") if m[1] in (None, "", "+", "-") else int(m[1])
+    return step, int((m[2] or "0").replace(" ", ""))
+
+
+def _compound(text: str, at: int, whole: str) -> tuple[list, int]:
+    """The tests of a compound part that begins here, and where it ends."""
+    tests = []
+    while m := _SIMPLE.match(text, at):
+        tag, id_, cls, attr, op, v1, v2, v3, negated, kind, nth, places = m.groups()
+        at = m.end()
+        if negated:
+            inner, at = _compound(text, at, whole)
+            if not inner or text[at : at + 1] != ")":
+                raise ValueError(f"no selector: {whole!r}")
+            at += 1
+            tests.append(("not", inner, None))
+        elif nth:
+            if (place := _nth(places)) is None:
+                raise ValueError(f"no selector: {whole!r}")
+            tests.append((nth, *place))
+        elif attr:
+            tests.append(("attribute", attr.lower(), (op, v1 if v1 is not None else v2 if v2 is not None else v3)))
+        else:
+            tests.append(("tag", tag.lower(), None) if tag else ("id", id_, None) if id_ else ("class", cls, None) if cls else (kind, None, None))
+    return tests, at
 
 
 @functools.cache
 def selector(text: str):
     """Compiled: a list of alternatives, each (combinator, tests) from the last part to the first. ValueError if it isn't one."""
-    groups = []
-    for group in re.split(r",(?![^\[]*\])", text):
-        parts, comb = [], " "
-        tokens = re.findall(r"\s*>\s*|(?:\[[^\]]*\]|[^\s>\[])+|\s+", group.strip())
-        if "".join(tokens) != group.strip():
-            raise ValueError(f"no selector: {text!r}")
-        for token in tokens:
-            if not token.strip():
-                continue
-            if token.strip() == ">":
-                comb = ">"
-                continue
-            tests, at = [], 0
-            while at < len(token):
-                m = _COMPOUND.match(token, at)
-                if not m:
-                    raise ValueError(f"no selector: {text!r}")
-                tests.append(m.groups())
-                at = m.end()
-            parts.append((comb, tests))
-            comb = " "
-        if not parts:
-            raise ValueError(f"no selector: {text!r}")
+    groups, at = [], len(text) - len(text.lstrip())
+    while True:
+        parts, joint = [], " "
+        while True:
+            tests, end = _compound(text, at, text)
+            if not tests:
+                raise ValueError(f"no selector: {text!r}")
+            parts.append((joint, tests))
+            at = end
+            rest = text[at:].lstrip()
+            if not rest or rest[0] == ",":
+                break
+            m = _COMBINATOR.match(text, at)
+            if not m:
+                raise ValueError(f"no selector: {text!r}")
+            joint, at = m[1] or " ", m.end()
         groups.append(parts[::-1])
-    return groups
+        if not rest:
+            return groups
+        at = len(text) - len(rest[1:].lstrip())
+
+
+def _kin(page: Page, row: int) -> list[int]:
+    """The element and its siblings, in order."""
+    parent = page.rows[row].parent
+    out, i = [], max(parent, 0) + (parent >= 0)
+    while i < page.rows[max(parent, 0)].end:
+        out.append(i)
+        i = page.rows[i].end
+    return out
 
 
-def _fits(page: Page, row: int, tests) -> bool:
+def _test(page: Page, row: int, kind: str, a, b) -> bool:
     x = page.rows[row]
-    for tag, id_, cls, attr, op, v1, v2, v3, pseudo, nth in tests:
-        if tag and tag != "*" and x.tag != tag.lower() or id_ and x.attributes.get("id") != id_ or cls and cls not in x.attributes.get("class", "").split():
-            return False
-        if attr:
-            have, want = x.attributes.get(attr.lower()), v1 if v1 is not None else v2 if v2 is not None else v3
-            if have is None or op == "=" and have != want or op == "~=" and want not in have.split() or op == "^=" and not have.startswith(want) or op == "$=" and not have.endswith(want) or op == "*=" and want not in have or op == "|=" and have != want and not have.startswith(want + "-"):
-                return False
-        if pseudo:
-            kin = [i for i in page.range(x.parent) if page.rows[i].parent == x.parent]
-            place = kin.index(row) + 1
-            if pseudo == "first-child" and place != 1 or pseudo == "last-child" and place != len(kin) or pseudo == "nth-child" and place != int(nth or 0):
-                return False
-    return x.tag != "#root"
+    if kind == "tag":
+        return a in ("*", x.tag)
+    if kind == "id":
+        return x.attributes.get("id") == a
+    if kind == "class":
+        return a in x.attributes.get("class", "").split()
+    if kind == "not":
+        return not all(_test(page, row, *t) for t in a)
+    if kind == "attribute":
+        have, (op, want) = x.attributes.get(a), b
+        if have is None or not op:
+            return have is not None
+        return {"=": have == want, "~=": want in have.split(), "^=": bool(want) and have.startswith(want), "$=": bool(want) and have.endswith(want), "*=": bool(want) and want in have, "|=": have == want or have.startswith(want + "-")}[op]
+    if kind == "empty":
+        return x.end == row + 1 and x.runs[0] == x.runs[1]
+    kin = _kin(page, row)
+    if kind.endswith("of-type"):
+        kin = [i for i in kin if page.rows[i].tag == x.tag]
+    place = kin.index(row) + 1
+    if kind.startswith("nth"):
+        return (place - b) % abs(a) == 0 and (place - b) // a >= 0 if a else place == b
+    return kind.startswith("first") and place == 1 or kind.startswith("last") and place == len(kin) or kind == "only-child" and len(kin) == 1
 
 
 def selects(page: Page, row: int, compiled) -> bool:
-    def up(row: int, parts) -> bool:
-        if not _fits(page, row, parts[0][1]):
+    def fits(row: int, parts) -> bool:
+        joint, tests = parts[0]
+        if page.rows[row].tag == "#root" or not all(_test(page, row, *t) for t in tests):
             return False
         if len(parts) == 1:
             return True
+        if joint in "+~":
+            kin = _kin(page, row)
+            before = kin[: kin.index(row)]
+            return any(fits(i, parts[1:]) for i in (before[-1:] if joint == "+" else before))
         above = page.rows[row].parent
         while above >= 0:
-            if up(above, parts[1:]):
+            if fits(above, parts[1:]):
                 return True
-            if parts[0][0] == ">":
+            if joint == ">":
                 return False
             above = page.rows[above].parent
         return False
 
-    return any(up(row, parts) for parts in compiled)
+    return any(fits(row, parts) for parts in compiled)
 
 
 def css_first(page: Page, within: int, text: str) -> int | None:

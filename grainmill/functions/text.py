@@ -19,7 +19,7 @@ def blank(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, those of one character dropped."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{Nd}]+"), 0), lambda t: F.char_length(t) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{Nd}]{2,}"), 0)
 
 
 def saturate(n: Column) -> Column:

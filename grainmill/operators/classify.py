@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
+from ..sources.tables import settle
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -18,13 +20,9 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def _occurrences(tokens: Column, words: list[str]) -> Column:
-    """How often these words follow each other, overlaps counted."""
-    if len(words) == 1:
-        return F.size(F.filter(tokens, lambda t: t == words[0]))
-    k = len(words)
-    starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1)))
-    return F.size(F.filter(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.slice(tokens, i, k) == F.array(*map(F.lit, words))))
+def _occurrences(joined: Column, words: list[str]) -> Column:
+    """How often these words follow each other in tokens joined by spaces (with one at either end), overlaps counted: places from where they can be read on."""
+    return F.coalesce(F.regexp_count(joined, F.lit(f"(?<= )(?={' '.join(words)} )")), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -53,13 +51,12 @@ class Terms:
         if not total:
             return F.lit(0.0)
 
-        def found(tokens: Column) -> Column:
-            out = F.lit(0.0)
-            for words, weight in [*(([t], w) for t, w in single.items()), *phrases]:
-                out = out + weight * T.saturate(_occurrences(tokens, words))
-            return out
-
-        return F.when(T.blank(text), 0.0).otherwise(T.clamp(urls.let(T.tokens(text), found) / total))
+        # a blank text has no tokens; the joined tokens are one expression, which generated code computes once
+        joined = F.concat(F.lit(" "), F.array_join(T.tokens(text), " "), F.lit(" "))
+        out = F.lit(0.0)
+        for words, weight in [*(([t], w) for t, w in single.items()), *phrases]:
+            out = out + weight * T.saturate(_occurrences(joined, words))
+        return T.clamp(out / total)
 
 
 def bayes_statistics(docs: DataFrame, text: str, about: str) -> DataFrame:
@@ -68,19 +65,34 @@ def bayes_statistics(docs: DataFrame, text: str, about: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count_if(F.col("__about")).alias("about"), F.count_if(~F.col("__about")).alias("against"))
 
 
+#: Terms that are broadcast to score with; of larger models only those that make up a thousandth of all tokens or more.
+BROADCAST_TERMS = 500_000
+
+
 @dataclass(frozen=True)
 class Bayes:
-    """A trained classifier: log odds by term as a table, and its scalars."""
+    """A trained classifier: log odds by term as a table (term, odds, share of all tokens), and its scalars."""
 
     odds: DataFrame
     prior: float
     midpoint: float = 0.0
     scale: float = 1.0
     examples: int = 0
+    terms: int | None = None
+
+    def _known(self, counts: DataFrame) -> DataFrame:
+        """The counted terms that the model knows, with their odds; no frequent term meets its rows in one task."""
+        odds = self.odds.select("term", "odds")
+        if (self.odds.count() if self.terms is None else self.terms) <= BROADCAST_TERMS:
+            return counts.join(F.broadcast(odds), "term")
+        frequent = self.odds.where("share >= 0.001").select("term", F.col("odds").alias("at_hand"))  # a thousand at most
+        counts = counts.join(F.broadcast(frequent), "term", "left")
+        rest = counts.where("at_hand is null").drop("at_hand").join(odds, "term")
+        return counts.where("at_hand is not null").withColumnRenamed("at_hand", "odds").unionByName(rest)
 
     def evidence(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """key, evidence (null where no term is known)."""
-        known = term_counts(docs, key, text).join(self.odds, "term")
+        known = self._known(term_counts(docs, key, text))
         return known.groupBy(key).agg((F.lit(self.prior) + F.sum(F.col("odds") * T.saturate(F.col("n"))) / F.sqrt(F.count("*"))).alias("evidence"))
 
     def score(self, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -99,15 +111,20 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", about: str =
     n = docs.agg(F.count_if(F.col(about)).alias("a"), F.count_if(~F.col(about)).alias("b")).first()
     if not n["a"] or not n["b"]:
         raise ValueError(f"{n['a']} examples of the subject and {n['b']} of anything else: both are needed")
-    stats = bayes_statistics(docs, text, about)
+    stats = settle(bayes_statistics(docs, text, about))
     total = stats.agg(F.sum("about").alias("a"), F.sum("against").alias("b"), F.count("*").alias("v")).first()
-    size = float(total["v"])
-    odds = stats.select("term", F.log(((F.col("about") + 1) / (total["a"] + size)) / ((F.col("against") + 1) / (total["b"] + size))).alias("odds"))
-    model = Bayes(odds, math.log(n["a"] / n["b"]), examples=n["a"] + n["b"])
+    size, tokens = float(total["v"]), float((total["a"] or 0) + (total["b"] or 0)) or 1.0
+    odds = settle(stats.select("term", F.log(((F.col("about") + 1) / (total["a"] + size)) / ((F.col("against") + 1) / (total["b"] + size))).alias("odds"), ((F.col("about") + F.col("against")) / tokens).alias("share")))
+    model = Bayes(odds, math.log(n["a"] / n["b"]), examples=n["a"] + n["b"], terms=total["v"])
     mean = model.evidence(docs, key, text).join(docs.select(key, F.col(about).alias("__about")), key, "right").groupBy("__about").agg(F.avg(F.coalesce("evidence", F.lit(0.0))).alias("m")).collect()
     means = {r["__about"]: r["m"] for r in mean}
     gap = means[True] - means[False]
-    return Bayes(odds, model.prior, (means[True] + means[False]) / 2, 4 / gap if gap > 0 else 1.0, model.examples)
+    return Bayes(odds, model.prior, (means[True] + means[False]) / 2, 4 / gap if gap > 0 else 1.0, model.examples, model.terms)
+
+
+def labelled(labels: DataFrame, corpus: DataFrame, key: str = "url") -> DataFrame:
+    """Labels with what the corpus has under their key; `skipped` marks those that it lacks."""
+    return labels.join(corpus.withColumn("__there", F.lit(True)), key, "left").withColumn("skipped", F.col("__there").isNull()).drop("__there")
 
 
 def link_text(url: Column) -> Column:
@@ -143,7 +160,7 @@ class ModelStore:
     def put(self, name: str, model: Bayes) -> int:
         version = self.latest(name) + 1
         at = f"{self.path}/{name}/{version}"
-        scalars = json.dumps({"prior": model.prior, "midpoint": model.midpoint, "scale": model.scale, "examples": model.examples})
+        scalars = json.dumps({"prior": model.prior, "midpoint": model.midpoint, "scale": model.scale, "examples": model.examples, "terms": model.terms})
         model.odds.write.mode("errorifexists").parquet(f"{at}/odds")
         self.spark.range(1).select(F.lit(scalars).alias("value")).write.mode("errorifexists").text(f"{at}/scalars")
         return version
@@ -158,3 +175,37 @@ class ModelStore:
     def delete(self, name: str, version: int) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{version}")
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Adds a column with the score of a text to rows: (rows, text, name of the column).
+Scorer = Callable[[DataFrame, Column, str], DataFrame]
+
+
+def by_terms(terms: Terms) -> Scorer:
+    return lambda rows, text, name: rows.withColumn(name, terms.score(text, rows.sparkSession))
+
+
+def by_bayes(model: Bayes) -> Scorer:
+    """Rows with one text share its score."""
+
+    def add(rows: DataFrame, text: Column, name: str) -> DataFrame:
+        rows = rows.withColumn("__h", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).withColumn("__text", text)
+        found = model.score(rows.select("__h", "__text").dropDuplicates(["__h"]), "__h", "__text").withColumnRenamed("score", name)
+        return rows.drop("__text").join(found, "__h").drop("__h")
+
+    return add
+
+
+def link_threshold(requests: DataFrame, score: Scorer, least: float, weight: float = 1.0) -> DataFrame:
+    """Drops requests (url, parent, score) whose link text scores below `least`; the others' score is the greater of their own and the weighted one."""
+    text = link_text(F.col("url"))
+    if "parent" in requests.columns:
+        text = F.concat_ws(" ", text, F.when(F.col("parent").isNotNull(), link_text(F.col("parent"))))
+    rows = score(requests, text, "__topic").where(F.col("__topic") >= least)
+    return rows.withColumn("score", F.greatest("score", F.col("__topic") * weight)).drop("__topic")
+
+
+def page_threshold(pages: DataFrame, score: Scorer, least: float, text: str = "body") -> DataFrame:
+    """Drops pages whose whole text scores below `least`; the others get topic_score, with three decimals."""
+    rows = score(pages, F.col(text), "__topic").where(F.col("__topic") >= least)
+    return rows.withColumn("topic_score", F.format_string("%.3f", F.col("__topic"))).drop("__topic")

@@ -60,19 +60,31 @@ def kinds(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def relation_kinds(edges: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """kind, pairs (distinct canonical ends), edges; ordered by edges."""
-    rows = _canonical_edges(edges, nodes, aliases)
+    rows = _canonical_edges(edges, aliases)
     return rows.groupBy("kind").agg(F.countDistinct("c_source", "c_target").alias("pairs"), F.count("*").alias("edges")).orderBy(F.col("edges").desc(), "kind")
 
 
-def _canonical_edges(edges: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
-    to = resolved(nodes, aliases)
-    out = edges.join(to.select(F.col("id").alias("source"), F.col("canonical").alias("c_source")), "source")
-    return out.join(to.select(F.col("id").alias("target"), F.col("canonical").alias("c_target")), "target")
+#: Aliases that are told to all tasks; more are met by shuffles.
+BROADCAST_ALIASES = 500_000
+
+
+def _canonical_edges(edges: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Edges with the canonical ids of their ends. Only merged spellings are looked up, so an entity with very many edges costs no more than another."""
+    to = aliases.select(F.col("alias").alias("__id"), F.col("canonical").alias("__c"))
+    few = aliases.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
+    for end in ("source", "target"):
+        edges = edges.join(F.broadcast(to) if few else to, F.col(end) == F.col("__id"), "left").withColumn(f"c_{end}", F.coalesce("__c", end)).drop("__id", "__c")
+    return edges
+
+
+def relations_of(edges: DataFrame, aliases: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges that leave these canonical entities or any spelling of them, ordered by position, kind and topic."""
+    return _canonical_edges(edges, aliases).join(ids.select(F.col("id").alias("c_source")).distinct(), "c_source", "left_semi").orderBy("position", "kind", "topic")
 
 
 def related(edges: DataFrame, nodes: DataFrame, aliases: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """One hop through merges: source (canonical), and the entities its edges lead to: id, kind, name, first, last (the canonical row's own), assertions (of the edges), position; ids: column id, the canonical sources asked for (all by default)."""
-    rows = _canonical_edges(edges, nodes, aliases)
+    rows = _canonical_edges(edges, aliases)
     if ids is not None:
         rows = rows.join(ids.select(F.col("id").alias("c_source")).distinct(), "c_source", "left_semi")
     hop = rows.groupBy("c_source", "c_target").agg(F.sum("assertions").alias("assertions"), F.min("position").alias("position"))
@@ -80,11 +92,17 @@ def related(edges: DataFrame, nodes: DataFrame, aliases: DataFrame, ids: DataFra
 
 
 def describe(properties: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Properties with their subject made canonical as they are written; the name `topic` is reserved to tags, which hold an @."""
+    """Properties with their subject made canonical as they are written (`checked` refuses the name that is reserved to tags)."""
     known = properties.join(aliases.select(F.col("alias").alias("subject"), "canonical"), "subject", "left")
     return known.withColumn("subject", F.coalesce("canonical", "subject")).drop("canonical")
 
 
+def checked(properties: DataFrame) -> DataFrame:
+    """Properties as anyone may write them: one named topic ends the job."""
+    name = F.when(F.lower(F.trim("name")) == "topic", F.raise_error(F.lit("the property name topic is reserved to tags")).cast("string")).otherwise(F.col("name"))
+    return properties.withColumn("name", name)
+
+
 def tag(tags: DataFrame) -> DataFrame:
     """subject, topic, ... as properties named topic; topics without @ end the job."""
     checked = F.when(F.col("topic").contains("@"), F.col("topic")).otherwise(F.raise_error(F.concat(F.lit("not a topic: "), F.col("topic"))).cast("string"))
@@ -124,6 +142,13 @@ def candidates(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     return known.where("initial").join(full, ["kind", "surname", "letter"]).select(F.col("id").alias("from"), "to", "kind", F.col("name").alias("from_name"), "to_name", F.lit("initial").alias("rule"))
 
 
+def candidates_for(nodes: DataFrame, aliases: DataFrame, ids: DataFrame) -> DataFrame:
+    """The proposals that touch these canonical entities: those asked for with an initial find their full name, those with a full name the initials that can only be theirs."""
+    asked = ids.select("id").distinct()
+    found = candidates(nodes, aliases)
+    return found.join(asked.withColumnRenamed("id", "from"), "from", "left_semi").unionByName(found.join(asked.withColumnRenamed("id", "to"), "to", "left_semi").select(*found.columns)).distinct()
+
+
 def merge(nodes: DataFrame, aliases: DataFrame, merges: DataFrame, manual: bool = False) -> DataFrame:
     """aliases with these merges (loser, keeper, rule, job, url, spec, at) applied at once, one level deep.
 

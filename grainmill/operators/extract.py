@@ -7,6 +7,7 @@ even if it matched an element without a value.
 
 from __future__ import annotations
 
+import dataclasses
 import re
 
 import pandas as pd
@@ -257,3 +258,15 @@ def induce(pages: DataFrame, items: tuple[Item, ...], least: float = 0.6, url: s
     spaces = F.length("selector") - F.length(F.replace("selector", F.lit(" "), F.lit("")))
     best = counts.groupBy("item", "property").agg(F.min_by(F.struct("selector", "support"), F.struct(-F.col("support"), -F.col("worth"), -F.col("depth"), spaces, F.length("selector"), F.col("selector"))).alias("b"))
     return best.select("item", "property", "b.selector", "b.support", F.lit(total).cast("long").alias("pages"))
+
+
+def learned(items: tuple[Item, ...], found, replace: bool = False, least: int = 1) -> tuple[Item, ...]:
+    """The items with learned selectors (rows of item, property, selector, support) written into them, marked as learned. Selectors that someone has written stay, unless they are to be replaced; those that were learned before give way."""
+    by = {(r["item"], r["property"]): r["selector"] for r in found if r["support"] >= least}
+
+    def written(item: Item, p: Property) -> Property:
+        new = by.get((item.name, p.name))
+        keep = new is None or p.css and not (replace or p.learned)
+        return p if keep else dataclasses.replace(p, css=(new,), learned=True)
+
+    return tuple(dataclasses.replace(i, properties=tuple(written(i, p) for p in i.properties)) for i in items)

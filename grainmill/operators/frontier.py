@@ -51,15 +51,27 @@ def lease(urls: DataFrame, hosts: DataFrame, now: Column, n: int, policy: str =
     return rows.where((F.col("nth") == 1) | (F.col("wait") <= 0)).orderBy(*by).limit(n).drop("nth")
 
 
+def cooled(leased: DataFrame, now: Column) -> DataFrame:
+    """Hosts once these leases are out: host, next_at, delay; those without a pause stay as they are."""
+    cool = leased.where("wait > 0").groupBy("host").agg(F.max("wait").alias("w"), F.max("delay").alias("delay"))
+    return cool.select("host", later(now, F.col("w")).alias("next_at"), F.coalesce("delay", F.lit(0.0)).alias("delay"))
+
+
 def after_lease(urls: DataFrame, hosts: DataFrame, leased: DataFrame, now: Column, hold: float) -> tuple[DataFrame, DataFrame]:
     """Both tables once these leases are out: URLs held for `hold` seconds with one attempt more, their hosts cooling."""
     out = urls.join(leased.select("job", "hash", F.lit(True).alias("out")), ["job", "hash"], "left")
     out = out.withColumn("ready_at", F.when(F.col("out"), later(now, F.lit(hold))).otherwise(F.col("ready_at"))).withColumn("attempts", F.col("attempts") + F.when(F.col("out"), 1).otherwise(0)).drop("out")
-    cool = leased.where("wait > 0").groupBy("host").agg(F.max("wait").alias("w")).select("host", later(now, F.col("w")).alias("then"))
-    joined = hosts.join(cool, "host", "full")
+    joined = hosts.join(cooled(leased, now).select("host", F.col("next_at").alias("then")), "host", "full")
     return out, joined.select("host", F.coalesce("then", "next_at").alias("next_at"), F.coalesce("delay", F.lit(0.0)).alias("delay"))
 
 
+def next_due(urls: DataFrame, hosts: DataFrame, now: Column) -> float | None:
+    """When the next waiting URL can be leased, in seconds since the epoch; None if none ever can."""
+    waiting = urls.where("status = 'waiting'").join(hosts.select("host", "next_at"), "host", "left")
+    due = waiting.agg(F.min(F.greatest(F.coalesce("ready_at", now), F.coalesce("next_at", now))).alias("at")).select(F.unix_micros("at").alias("at")).first()["at"]
+    return None if due is None else due / 1e6
+
+
 def later(at: Column, seconds: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(at) + (seconds * 1_000_000).cast("long"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def rules(files: DataFrame) -> DataFrame:
 
 def group(parsed: DataFrame, agent: str) -> DataFrame:
     """The rules of each origin that hold for the agent: those under its name, else under the longest beginning of it, else under *."""
-    a = agent.lower()
+    a = token(agent)
     fit = F.when(F.col("agent") == a, 1_000_000).when(F.col("agent") == "*", 0).when(F.lit(a).startswith(F.col("agent")) & (F.col("agent") != ""), F.length("agent"))
     ranked = parsed.withColumn("fit", fit).where("fit is not null")
     best = ranked.groupBy(F.col("origin").alias("o")).agg(F.max("fit").alias("best"))
@@ -47,14 +49,34 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.regexp_replace(quoted, r"\\\$$", r"\$"))
 
 
+def token(agent: str) -> str:
+    """The product token of a user agent, as robots files name it."""
+    found = re.match(r"[A-Za-z_-]+", agent.strip())
+    if not found:
+        raise ValueError(f"no product token in {agent!r}")
+    return found[0].lower()
+
+
+def prepared(files: DataFrame, agent: str) -> DataFrame:
+    """origin, status, rules, delay: what each origin says to the agent. files: origin, status, body; of 2xx the body is parsed."""
+    held = group(rules(files.where("status between 200 and 299")), agent)
+    rule = F.struct(F.length("pattern").alias("n"), F.col("allow").cast("int").alias("allow"), pattern_regex(F.col("pattern")).alias("regex"))
+    said = held.groupBy("origin").agg(F.collect_list(F.when(F.col("pattern").isNotNull(), rule)).alias("rules"), F.max("delay").alias("delay"))  # of one file, 500 KiB at most
+    return files.select("origin", "status").join(said, "origin", "left")
+
+
+def delays(ready: DataFrame, requests: DataFrame) -> DataFrame:
+    """host, delay: what the hosts of these requests ask for between two requests."""
+    asked = requests.select("host", F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("o")).distinct()
+    return asked.join(ready.where("delay is not null"), F.col("o") == F.col("origin")).select("host", "delay")
+
+
 def gate(requests: DataFrame, files: DataFrame, agent: str) -> DataFrame:
-    """Adds `robots`: allowed, denied, or unreadable (dropped too). files: origin, status, body; 2xx is parsed, 4xx allows all, anything else is unreadable. The longest pattern decides, allow on ties."""
-    held = group(rules(files.where("status between 200 and 299")), agent).where("pattern is not null")
+    """Adds `robots`: allowed, denied, or unreadable (dropped too). files: origin, status, body, or what `prepared` makes of them; 2xx is parsed, 4xx allows all, anything else is unreadable. The longest pattern decides, allow on ties."""
+    ready = (files if "rules" in files.columns else prepared(files, agent)).select(F.col("origin").alias("__o"), F.col("status").alias("__status"), F.col("rules").alias("__rules"))
     rows = requests.withColumn("__origin", F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)).withColumn("__path", F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^#]*)", 1), "^$", "/"))
-    hits = rows.select("url", "__origin", "__path").distinct().join(held.withColumn("regex", pattern_regex(F.col("pattern"))), F.col("__origin") == F.col("origin")).where(F.expr("__path rlike regex"))
-    verdict = hits.groupBy("url").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow").cast("int"))).alias("allow"))
-    status = files.select(F.col("origin").alias("__o"), F.col("status").alias("__status"))
-    out = rows.join(verdict, "url", "left").join(status, F.col("__origin") == F.col("__o"), "left")
+    out = rows.join(ready, F.col("__origin") == F.col("__o"), "left")
+    best = F.array_max(F.expr("transform(filter(__rules, r -> __path rlike r.regex), r -> struct(r.n, r.allow))"))
     readable = F.col("__status").between(200, 299) | F.col("__status").between(400, 499)
-    word = F.when(~F.coalesce(readable, F.lit(False)), "unreadable").when(F.coalesce("allow", F.lit(True)), "allowed").otherwise("denied")
+    word = F.when(~F.coalesce(readable, F.lit(False)), "unreadable").when(F.coalesce(best["allow"], F.lit(1)) == 1, "allowed").otherwise("denied")
     return out.withColumn("robots", word).select(*requests.columns, "robots")

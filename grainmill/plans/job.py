@@ -31,6 +31,7 @@ class Property:
     examples: tuple[str, ...] = ()
     description: str = ""
     properties: tuple[Property, ...] = ()
+    learned: bool = False  # whether css was induced from pages
 
     def leaves(self, above: str = "") -> list[tuple[str, Property]]:
         name = f"{above}{self.name}"
@@ -79,6 +80,25 @@ class Step:
         return f"{self.kind}.{self.name}"
 
 
+@dataclass(frozen=True)
+class Stage:
+    """A middleware of the scheduler, downloader or spider; lower orders come first, equal ones as they are listed."""
+
+    at: str
+    name: str
+    order: int = 500
+    options: tuple[tuple[str, Any], ...] = ()
+
+
+@dataclass(frozen=True)
+class Exporter:
+    kind: str
+    name: str
+    path: str = ""
+    items: tuple[str, ...] = ()
+    options: tuple[tuple[str, Any], ...] = ()
+
+
 @dataclass(frozen=True)
 class Job:
     name: str
@@ -93,9 +113,17 @@ class Job:
     max_redirects: int = DEFAULTS["max_redirects"]
     policy: str = DEFAULTS["policy"]
     rate: float = DEFAULTS["rate"]
+    agent: str = "grainmill"
+    robots: bool = True
+    truncate: bool = False
+    max_pages: int = 0
+    max_seconds: float = 0.0
+    wave: int = 100_000
+    stages: tuple[Stage, ...] = ()
+    exporters: tuple[Exporter, ...] = ()
 
 
-_PARTS = {(Job, "items"): Item, (Job, "steps"): Step, (Item, "properties"): Property, (Item, "relations"): Relation, (Property, "properties"): Property, (Relation, "properties"): Property}
+_PARTS = {(Job, "items"): Item, (Job, "steps"): Step, (Job, "stages"): Stage, (Job, "exporters"): Exporter, (Item, "properties"): Property, (Item, "relations"): Relation, (Property, "properties"): Property, (Relation, "properties"): Property}
 
 
 def build(kind: type, spec: dict, at: str = "") -> Any:
@@ -120,6 +148,34 @@ def parse(text: str) -> Job:
     return build(Job, json.loads(text))
 
 
+def printed(job: Job) -> str:
+    """The job as a document that `parse` reads; what has its default is left out."""
+
+    def plain(x: Any) -> Any:
+        if hasattr(x, "__dataclass_fields__"):
+            return {f.name: {k: plain(v) for k, v in value} if f.name == "options" else plain(value) for f in fields(x) if (value := getattr(x, f.name)) != f.default and value != ()}
+        return [plain(y) for y in x] if isinstance(x, (tuple, list)) else x
+
+    return json.dumps(plain(job), indent=2, ensure_ascii=False)
+
+
+def topics(text: str) -> dict[str, dict[str, tuple[str, ...]]]:
+    """A labels document: for each topic its terms, and the URLs that are about it and not. All that is wrong is told at once."""
+    wrong, out = [], {}
+    for name, spec in json.loads(text).items():
+        if "@" not in name:
+            wrong.append(f"topic {name!r} has no @")
+        if odd := sorted(set(spec) - {"terms", "about", "not"}):
+            wrong.append(f"{name}: unknown fields {', '.join(odd)}")
+        held = {k: tuple(spec.get(k, ())) for k in ("terms", "about", "not")}
+        if both := sorted(set(held["about"]) & set(held["not"])):
+            wrong.append(f"{name}: both about and not: {', '.join(both)}")
+        out[name] = held
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return out
+
+
 def validate(job: Job) -> list[str]:
     """All that is wrong with a job, not only the first."""
     wrong: list[str] = []
@@ -216,12 +272,12 @@ def fingerprint(job: Job) -> str:
 @dataclass(frozen=True)
 class Change:
     at: str
-    effect: str  # scope, schedule, fetch, extract, pipeline
+    effect: str  # scope, schedule, fetch, stages, extract, pipeline, export
     added: tuple = field(default=())
     removed: tuple = field(default=())
 
 
-_EFFECTS = {"start": "schedule", "domains": "scope", "included": "scope", "excluded": "scope", "max_depth": "scope", "policy": "schedule", "rate": "schedule", "max_body": "fetch", "max_redirects": "fetch", "steps": "pipeline"}
+_EFFECTS = {"start": "schedule", "domains": "scope", "included": "scope", "excluded": "scope", "max_depth": "scope", "policy": "schedule", "rate": "schedule", "max_body": "fetch", "max_redirects": "fetch", "agent": "fetch", "robots": "fetch", "truncate": "fetch", "max_pages": "schedule", "max_seconds": "schedule", "wave": "schedule", "stages": "stages", "steps": "pipeline", "exporters": "export"}
 
 
 def diff(old: Job, new: Job) -> list[Change]:
@@ -241,6 +297,15 @@ def diff(old: Job, new: Job) -> list[Change]:
     return out
 
 
+def review(old: Job, new: Job) -> list[str]:
+    """Why a running job may not become this one: its name and what its frontier was built by stay, and the new job must be valid."""
+    wrong = [f"{k}: a running job keeps its own ({getattr(old, k)!r}, not {getattr(new, k)!r})" for k in ("name", "policy") if getattr(old, k) != getattr(new, k)]
+    dupes = lambda job: [s.options for s in job.stages if (s.at, s.name) == ("scheduler", "dupefilter")]
+    if dupes(old) != dupes(new):
+        wrong.append("stages: what makes two URLs one can't change while a frontier holds them")
+    return wrong + validate(new)
+
+
 class Registry:
     """Named factories: registering a name twice is an error, and all missing ones are told at once."""
 
@@ -259,3 +324,6 @@ class Registry:
         if missing := [n for n in names if n not in self._made]:
             raise ValueError(f"no {self.kind} {', '.join(missing)}; there are {', '.join(self.names())}")
         return [self._made[n] for n in names]
+
+    def one(self, name: str) -> Any:
+        return self.build([name])[0]

@@ -48,7 +48,9 @@ def tokenize(spark, sf_dir):
 
 
 def term_counts(spark, sf_dir):
-    return classify.term_counts(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where("docs > 20")
+    """Each document's terms with their counts, as their number, their sum and a digest of them all."""
+    counts = classify.term_counts(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n", F.concat("term", F.lit("="), "n").alias("x"))
+    return counts.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("n").alias("tokens"), F.md5(F.array_join(F.array_sort(F.collect_list("x")), ",").cast("binary")).alias("digest"))
 
 
 def terms_score(spark, sf_dir):
@@ -56,8 +58,7 @@ def terms_score(spark, sf_dir):
 
 
 def page_topic_filter(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", TOPIC.score(F.col("text"), spark).alias("s"))
-    return docs.where("s >= 0.5").select("doc_id", F.format_string("%.3f", F.col("s")).alias("topic_score"))
+    return classify.page_threshold(read(spark, sf_dir, "documents"), classify.by_terms(TOPIC), 0.5, "text").select("doc_id", "topic_score")
 
 
 def propose_labels(spark, sf_dir):
@@ -66,8 +67,8 @@ def propose_labels(spark, sf_dir):
 
 
 def label_join(spark, sf_dir):
-    labels, docs = read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents").where("doc_id % 10 <> 3").select("doc_id", "lang")
-    return labels.join(docs, "doc_id", "left").groupBy("quality", "lang").agg(F.count("*").alias("labels"), F.count_if(F.col("lang").isNull()).alias("skipped"))
+    docs = read(spark, sf_dir, "documents").where("doc_id % 10 <> 3").select("doc_id", "lang")
+    return classify.labelled(read(spark, sf_dir, "labels"), docs, "doc_id").groupBy("quality", "lang").agg(F.count("*").alias("labels"), F.count_if("skipped").alias("skipped"))
 
 
 def bayes_train(spark, sf_dir):
@@ -196,7 +197,7 @@ ORACLES = {
     "collapse_space": r"select doc_id, md5(trim(regexp_replace(text, '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'))) as digest from documents",
     "parse_dates": f"select o_orderkey, case when o_orderkey % 7 < 2 then strftime(o_orderdate, {_Z}) else strftime(o_orderdate::date, {_Z}) end as parsed from orders",
     "tokenize": f"with {_T} select doc_id, len(k)::bigint as tokens, md5(array_to_string(k, ' ')) as digest from t",
-    "term_counts": f"with {_T} select term, count(distinct doc_id) as docs, count(*) as n from (select doc_id, unnest(k) as term from t) group by term having count(distinct doc_id) > 20",
+    "term_counts": f"with {_T}, c as (select doc_id, term || '=' || count(*) as x, count(*) as n from (select doc_id, unnest(k) as term from t) group by doc_id, term) select doc_id, count(*) as terms, sum(n)::bigint as tokens, md5(string_agg(x, ',' order by x)) as digest from c group by doc_id",
     "terms_score": f"with {_T}, {_SCORE} select doc_id, round(score, 6) as score from s",
     "page_topic_filter": f"with {_T}, {_SCORE} select doc_id, printf('%.3f', score) as topic_score from s where score >= 0.5",
     "propose_labels": f"with {_T}, {_SCORE} select case when score >= 0.35 then 'about' else 'not' end as label, count(*) as docs from s where doc_id not in (select doc_id from labels) group by 1",

@@ -11,7 +11,7 @@ from ..operators import classify, crawl, extract, frontier, robots
 from ..operators import records as R
 from ..operators.scope import Scope, allows, matches, verdicts
 from ..plans.job import Item, Property
-from ..sources import tables
+from ..sources import charsets, tables
 
 STRIP = urls.UrlOptions(strip_query=urls.TRACKING)
 ORIGIN = "2024-01-01T00:00:00"
@@ -115,7 +115,7 @@ def url_sort_query(spark, sf_dir):
 
 def url_dot_segments(spark, sf_dir):
     dotted = F.concat(F.regexp_extract("url", "^([a-z]+://[^/]*)", 1), F.lit("/a/./b/../c"), F.regexp_extract("url", "^[a-z]+://[^/]*([^?#]*)", 1), F.lit("/../d/"))
-    return read(spark, sf_dir, "pages").where("not url like '%/' and url not like '%/?%' and url not like '%/#%'").select("page_id", urls.path_of(urls.normalise(dotted)).alias("path"))
+    return read(spark, sf_dir, "pages").select("page_id", urls.path_of(urls.normalise(dotted)).alias("path"))
 
 
 def url_host_domain(spark, sf_dir):
@@ -185,12 +185,16 @@ def cache_lookup(spark, sf_dir):
 def corpus_scan(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     entries = tables.cache_entries(pages.groupBy("url").agg(F.min("html").alias("body")))
-    return tables.corpus(entries.select("key", "url"), entries.where("prefix < '80'").select("key", "body"), 100).select("url", F.octet_length("body").cast("long").alias("bytes"))
+    return tables.corpus(entries.select("key", "url"), entries.select("key", "body")).select("url", F.octet_length("body").cast("long").alias("bytes"))
 
 
 def decode_utf8(spark, sf_dir):
-    latin = F.encode(F.concat(F.lit("café "), F.col("page_id").cast("string")), "ISO-8859-1")
-    return read(spark, sf_dir, "pages").select("page_id", tables.decode(F.when(F.col("page_id") % 2 == 0, latin).otherwise(F.encode(F.concat(F.lit("café "), F.col("page_id").cast("string")), "UTF-8")), F.when(F.col("page_id") % 4 == 0, "text/html; charset=ISO-8859-1").otherwise("text/html")).alias("text"))
+    """Every page in one of five encodings, declared by type, by mark, by meta element or not at all."""
+    n = F.col("page_id") % 5
+    meta = F.replace("html", F.lit('charset="utf-8"'), F.when(n == 2, 'charset="iso-8859-1"').when(n == 4, 'name="x"').otherwise('charset="utf-8"'))
+    body = F.when(n.isin(1, 2), F.encode(meta, "ISO-8859-1")).when(n == 3, F.concat(F.unhex(F.lit("FFFE")), F.encode(meta, "UTF-16LE"))).otherwise(F.encode(meta, "UTF-8"))
+    pages = read(spark, sf_dir, "pages").select("page_id", body.alias("body"), F.when(n == 1, "text/html; charset=windows-1252").otherwise("text/html").alias("type"))
+    return pages.select("page_id", F.md5(charsets.decode(F.col("body"), F.col("type")).cast("binary")).alias("digest"))
 
 
 def robots_gate(spark, sf_dir):
@@ -211,14 +215,13 @@ def redirect_resolve(spark, sf_dir):
 
 def link_topic_score(spark, sf_dir):
     terms = classify.Terms(("en", "page", "html", "de"), (("en", 2.0),))
-    rows = requests(spark, sf_dir)
-    score = terms.score(classify.link_text(F.col("url")), spark)
-    return rows.select("seq", score.alias("s"), "score").where("s >= 0.1").select("seq", F.round(F.greatest("score", F.col("s") * 0.8), 6).alias("score"))
+    rows = classify.link_threshold(requests(spark, sf_dir), classify.by_terms(terms), 0.1, 0.8)
+    return rows.select("seq", F.round("score", 6).alias("score"))
 
 
 def discovered_links(spark, sf_dir):
-    rows = _read(spark, sf_dir).select(F.col("url"), F.lit(0).alias("depth"), F.col("page_id").alias("seq"), F.filter("links", lambda x: x.rlike("^[!-~]*$")).alias("links"))
-    return crawl.discovered(rows, options=STRIP).groupBy("parent").agg(F.count("*").alias("links"), F.min("url").alias("least"), F.max("depth").cast("long").alias("depth"))
+    rows = _read(spark, sf_dir).select(F.col("url"), F.lit(0).alias("depth"), F.col("page_id").alias("seq"), "links")
+    return crawl.discovered(rows, options=STRIP).groupBy("parent").agg(F.count("*").alias("links"), F.min("url").alias("least"), F.max("url").alias("greatest"), F.max("depth").cast("long").alias("depth"))
 
 
 def extract_title(spark, sf_dir):
@@ -245,7 +248,7 @@ def train_locators(spark, sf_dir):
 
 
 def records_flat(spark, sf_dir):
-    return extract.records(_read(spark, sf_dir), (ARTICLE,), "v1").select(F.col("seq").alias("page_id"), "item", "spec", F.array_join(F.array_sort(F.map_keys("values")), ",").alias("names"), F.array_join("missing", ",").alias("missing"))
+    return extract.records(_read(spark, sf_dir), (ARTICLE,), "v1").select(F.col("seq").alias("page_id"), "item", "spec", F.array_join(F.array_sort(F.map_keys("values")), ",").alias("names"), F.array_join("missing", ",").alias("missing"), *[F.coalesce(F.col("values")[n], F.lit("")).alias(n) for n in ("title", "heading", "language", "footer")])
 
 
 def self_sources(spark, sf_dir):
@@ -258,9 +261,9 @@ def crawl_stats(spark, sf_dir):
     table = pages.select(urls.normalise(F.col("url"), STRIP).alias("url"), F.lit(200).alias("status"), F.col("html").alias("body"), "page_id")
     table = frontier.first_of(table, ["url"], F.col("page_id")).drop("page_id")
     start = pages.where("page_id % 3 = 0").select("url")
-    plan = crawl.CrawlPlan(scope=Scope(domains=("example.com", "example.net")), options=STRIP, max_depth=1, wave=10_000)
-    answers, todo, _ = crawl.crawl(start, table, lambda rows: extract.read_pages(rows, (), markup="body").select(*rows.columns, "links"), plan)
-    return crawl.statistics(answers, todo)
+    plan = crawl.CrawlPlan(scope=Scope(domains=("example.com", "example.net")), options=STRIP, max_depth=1, wave=1_000_000)
+    read_links = lambda rows: extract.read_pages(rows, (), url="final_url", markup="body").select(*rows.columns, "links")
+    return crawl.statistics(crawl.crawl(start, crawl.Site(table), read_links, plan))
 
 
 def crawl_plan(spark, sf_dir):
@@ -290,13 +293,15 @@ QUERIES = {f.__name__: f for f in (
     discovered_links, extract_title, extract_h1_css, extract_regex, fill_rates, train_locators, records_flat, self_sources, crawl_stats,
 )} | {"frontier_lease": _lease("priority"), "lease_breadth": _lease("breadth"), "lease_depth": _lease("depth")}
 
-_TEXT = "trim(regexp_replace(replace(replace(replace(replace({x}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_DECODED = "replace(replace(replace(replace({x}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+_TEXT = "trim(regexp_replace(" + _DECODED + ", '\\s+', ' ', 'g'))"
 
 
 def _between(pattern: str) -> str:
     return _TEXT.format(x=f"regexp_extract(html, '{pattern}', 1)")
 
 
+_ARTICLES = f"a as (select page_id, {_between('<article><h1>(.*?)</h1>')} as title, regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) as language, {_between('(?s)<footer>(.*?)</footer>')} as footer from pages)"
 _SCOPE_SQL = "(h = 'example.com' or h like '%.example.com' or h = 'example.net' or h like '%.example.net') and not (canonical like '%/fr/%' or canonical like 'https://blog.%') and (canonical like 'http%://%/en/%' or canonical like 'http%://%/de/%')"
 
 ORACLES = {
@@ -306,7 +311,7 @@ select seq, host, hash, sc as score from b where nth = 1 order by sc desc, seq l
     "url_normalise": f"with {_U} select page_id, plain as canonical from c",
     "url_strip_tracking": f"with {_U} select page_id, canonical from c",
     "url_sort_query": f"with {_U} select page_id, s || '://' || h || p || '?a=1&a=2&m=' || page_id || '&z=' || (page_id % 7) as canonical from c",
-    "url_dot_segments": f"with {_U} select page_id, '/a/c' || regexp_replace(p0, '/[^/]*$', '') || '/d/' as path from u where url not like '%/' and url not like '%/?%' and url not like '%/#%'",
+    "url_dot_segments": f"with {_U} select page_id, regexp_replace(rtrim('/a/c' || p0, '/'), '/[^/]*$', '') || '/d/' as path from u",
     "url_host_domain": f"with {_U} select page_id, h as host, array_to_string(string_split(h, '.')[-2:], '.') as domain from u",
     "url_hash": f"with {_U} select page_id, substr(sha256(canonical), 1, 32) as hash, sha256(canonical) as key from c",
     "scope_filter": f"with {_U} select page_id as seq, canonical as url from c where {_SCOPE_SQL}",
@@ -328,8 +333,8 @@ select t.hash, 200 as status, octet_length(encode(html))::bigint as bytes from t
 select page_id, case when octet_length(encode(body)) > 2000 then 'body too large' end as failed, case when octet_length(encode(body)) <= 2000 then octet_length(encode(body))::bigint end as bytes from pages join p using (url)""",
     "cache_lookup": """with h as (select url, min(page_id) as n from pages where page_id % 3 = 0 group by url)
 select page_id, coalesce(n % 2 = 0 and 1704153600 - (1704067200 + n * 600) <= 60000, false) as hit from pages left join h using (url)""",
-    "corpus_scan": "with p as (select url, min(html) as body from pages group by url) select url, octet_length(encode(body))::bigint as bytes from p where substr(sha256(url), 1, 2) < '80' order by url limit 100",
-    "decode_utf8": "select page_id, 'café ' || page_id as text from pages",
+    "corpus_scan": "select url, octet_length(encode(min(html)))::bigint as bytes from pages group by url",
+    "decode_utf8": """select page_id, md5(replace(html, 'charset="utf-8"', case page_id % 5 when 2 then 'charset="iso-8859-1"' when 4 then 'name="x"' else 'charset="utf-8"' end)) as digest from pages""",
     "robots_gate": f"""with {_U}
 select page_id as seq, case when h like 'spam%' then 'unreadable' when h like '%.org' then 'allowed'
   when p like '/fr/%.html' and q = '' then 'allowed' when p like '/fr/%' or (p || '?' || q) like '%ref=%' then 'denied' else 'allowed' end as robots from c""",
@@ -338,13 +343,25 @@ select page_id as seq, case when h like 'spam%' then 'unreadable' when h like '%
     "link_topic_score": f"with {_R}, {_link_sql('r', {'en': 2.0, 'page': 1.0, 'html': 1.0, 'de': 1.0})} select seq, round(greatest(score, least(s, 1) * 0.8), 6) as score from x where s >= 0.1",
     "discovered_links": f"""with {_U},
 a as (select url as parent, s || '://' || h as root, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from u),
-k as (select distinct parent, root || href as url from a where regexp_full_match(href, '/[!-~]*'))
-select parent, count(*) as links, min(url) as least, 1::bigint as depth from k group by parent""",
+k as (select distinct parent, root || list_aggregate(list_transform(string_split({_DECODED.format(x='href')}, ''), lambda c: case when ord(c) > 126 then url_encode(c) else c end), 'string_agg', '') as url from a)
+select parent, count(*) as links, min(url) as least, max(url) as greatest, 1::bigint as depth from k group by parent""",
     "extract_title": f"select page_id, {_between('<title>(.*?)</title>')} as title from pages",
     "extract_h1_css": f"select page_id, {_between('<article><h1>(.*?)</h1>')} as title, 'css' as how, regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) as language from pages",
-    "fill_rates": """with n as (select count(*) as pages from pages)
-select 'article' as item, unnest(['title', 'heading', 'language', 'footer', 'author']) as property, pages, unnest([pages, pages, pages, pages, 0]) as found, unnest([pages, 0, 0, pages, 0]) as by_css,
-  unnest([0, 0, pages, 0, 0]) as by_xpath, unnest([0, pages, 0, 0, 0]) as by_semantics, unnest([0, 0, 0, 0, pages]) as missing, unnest([1.0, 1.0, 1.0, 1.0, 0.0])::double as rate from n""",
-    "records_flat": "select page_id, 'article' as item, 'v1' as spec, 'footer,heading,language,title' as names, '' as missing from pages",
+    "extract_regex": f"with x as (select page_id, regexp_extract({_DECODED.format(x='html')}, '© (\\S+) ·', 1) as host from pages) select page_id, host, 'regex' as how from x where host <> ''",
+    "fill_rates": f"""with {_ARTICLES},
+f as (select count(*) as pages, count_if(title <> '') as t, count_if(language <> '') as l, count_if(footer <> '') as f from a),
+r as (select unnest([{{'p': 'title', 'found': t, 'css': t, 'xpath': 0, 'semantics': 0}}, {{'p': 'heading', 'found': t, 'css': 0, 'xpath': 0, 'semantics': t}}, {{'p': 'language', 'found': l, 'css': 0, 'xpath': l, 'semantics': 0}},
+  {{'p': 'footer', 'found': f, 'css': f, 'xpath': 0, 'semantics': 0}}, {{'p': 'author', 'found': 0, 'css': 0, 'xpath': 0, 'semantics': 0}}]) as x, pages from f)
+select 'article' as item, x.p as property, pages, x.found as found, x.css as by_css, x.xpath as by_xpath, x.semantics as by_semantics, pages - x.found as missing, round(x.found::double / pages, 6) as rate from r""",
+    "records_flat": f"""with {_ARTICLES}
+select page_id, 'article' as item, 'v1' as spec, concat_ws(',', case when footer <> '' then 'footer' end, case when title <> '' then 'heading' end, case when language <> '' then 'language' end, case when title <> '' then 'title' end) as names,
+  case when title = '' then 'title' else '' end as missing, title, title as heading, language, footer from a where title <> '' or language <> '' or footer <> ''""",
+    "crawl_stats": f"""with {_U},
+t as (select canonical, arg_min(html, page_id) as html, any_value(s || '://' || h) as root from c where (h = 'example.com' or h like '%.example.com' or h = 'example.net' or h like '%.example.net') group by canonical),
+seeds as (select distinct canonical as url from c where page_id % 3 = 0 and (h = 'example.com' or h like '%.example.com' or h = 'example.net' or h like '%.example.net')),
+l as (select root, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from t where canonical in (select url from seeds)),
+asked as (select url from seeds union select root || list_aggregate(list_transform(string_split({_DECODED.format(x='href')}, ''), lambda c: case when ord(c) > 126 then url_encode(c) else c end), 'string_agg', '') from l),
+z as (select count(*) as queued, count_if(url in (select canonical from t)) as fetched from asked)
+select fetched, 0 as cached, 0 as dropped, 3 * (queued - fetched) as failed, queued, 0 as waiting, queued - fetched as abandoned from z""",
     "self_sources": f"with {_U} select page_id, h as host, array_to_string(string_split(h, '.')[-2:], '.') as domain, p0 as path, strftime(timestamp '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') as fetched_at from u",
 }

@@ -1,9 +1,10 @@
-"""Sources and sinks: corpora and caches as tables, files in every layout, keyed tables, settled frames."""
+"""Sources and sinks: corpora and caches as tables, files in every layout, settled frames."""
 
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +12,33 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls
 
-#: Codecs that a Parquet sink takes.
-CODECS = ("uncompressed", "snappy", "gzip", "zstd", "lz4_raw")
+#: Codecs that a Parquet sink takes, and those of them that need a library besides Spark.
+CODECS = ("uncompressed", "snappy", "gzip", "zstd", "lz4_raw", "brotli")
 RESERVED = ("url", "fetched", "spec")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the cluster's shared folder (spark.checkpoint.dir; a temporary one where that is unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_top(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). A temporary one where that is unset and all runs on this machine, as in tests; on a cluster it must be set."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not top:
+        if not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="grainmill-"))
+        top = sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grainmill-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(top)
+    return top
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Computes df once: written to the cluster's shared folder and read back, so lineage is cut and a lost executor costs nothing. The folder goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_top(spark)}/grainmill-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def corpus(metas: DataFrame, bodies: DataFrame, limit: int | None = None) -> DataFrame:
@@ -30,6 +47,12 @@ def corpus(metas: DataFrame, bodies: DataFrame, limit: int | None = None) -> Dat
     return out.limit(limit) if limit else out
 
 
+def bodies_only(bodies: DataFrame, limit: int | None = None) -> DataFrame:
+    """Bodies as pages that are named by their keys, without looking at metas."""
+    out = bodies.where("body is not null").select(F.col("key").alias("url"), "body")
+    return out.orderBy("url").limit(limit) if limit else out
+
+
 def cache_entries(pages: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
     """key, prefix (to partition by), url, body of a page cache."""
     key = urls.cache_key(F.col(url))
@@ -57,15 +80,16 @@ def write_json_lines(records: DataFrame, path: str) -> None:
 
 
 def write_json_array(records: DataFrame, path: str) -> None:
-    """One file with one array, for consumers that need it: a single task writes it, rows in seq order."""
-    rows = records.orderBy("seq").select(F.to_json(F.struct(*[c for c in records.columns if c != "seq"])).alias("value")) if "seq" in records.columns else records.select(F.to_json(F.struct(*records.columns)).alias("value"))
-    count = rows.count()
-    if not count:
-        rows.sparkSession.createDataFrame([("[\n]",)], "value string").coalesce(1).write.text(path)
-        return
-    # the first row opens the array and every other one brings the comma: no row needs to know the count
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (("[\n  " if x[1] == 0 else ",\n  ") + x[0][0] + ("\n]" if x[1] == count - 1 else ""), x[1])).toDF("value string, n long")
-    numbered.repartition(1).sortWithinPartitions("n").select("value").write.option("lineSep", "\n").text(path)
+    """One file with one array, for consumers that need it: a single task writes it, rows in seq order if there is one."""
+    rows = records.select(F.to_json(F.struct(*[c for c in records.columns if c != "seq"])).alias("value"), *(["seq"] if "seq" in records.columns else []))
+    rows = rows.orderBy("seq") if "seq" in records.columns else rows
+    # the bracket and the first row open the array, each further row brings its comma: only whether a row is the first matters
+    numbered = rows.withColumn("n", F.monotonically_increasing_id())
+    numbered = settle(numbered)
+    first = numbered.agg(F.min("n").alias("n")).first()["n"]
+    lines = numbered.select("n", F.concat(F.when(F.col("n") == first, "[\n  ").otherwise(",\n  "), F.col("value")).alias("value"))
+    end = records.sparkSession.range(1).select(F.lit((1 << 63) - 1).alias("n"), F.lit("[\n]" if first is None else "\n]").alias("value"))
+    lines.unionByName(end).repartition(1).sortWithinPartitions("n").select("value").write.option("lineSep", "\n").text(path)
 
 
 def write_csv(records: DataFrame, path: str, layout: Layout) -> None:
@@ -74,10 +98,11 @@ def write_csv(records: DataFrame, path: str, layout: Layout) -> None:
     flat.select(*[F.regexp_replace(F.col(f"`{c}`"), r"[\r\n]+", " ").alias(c) for c in flat.columns]).write.option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_parquet(records: DataFrame, path: str, names: tuple[str, ...], compression: str = "snappy") -> None:
+def write_parquet(records: DataFrame, path: str, names: tuple[str, ...], compression: str = "snappy", row_group: int = 128 << 20) -> None:
+    """row_group: bytes of a row group. brotli needs its codec on the class path."""
     if compression not in CODECS:
         raise ValueError(f"no codec {compression!r}; there are {', '.join(CODECS)}")
-    Layout(names, ("url", "fetched", "spec")).select(records).write.option("compression", compression).parquet(path)
+    Layout(names, ("url", "fetched", "spec")).select(records).write.option("compression", compression).option("parquet.block.size", row_group).parquet(path)
 
 
 def messages(measured: DataFrame, subject: str, of: str | None = None) -> DataFrame:
@@ -87,29 +112,30 @@ def messages(measured: DataFrame, subject: str, of: str | None = None) -> DataFr
     return measured.select(key.alias("key"), F.to_json(F.struct("name", "tags", "fields", T.rfc3339(F.col("time")).alias("time"))).alias("value"))
 
 
-def export(records: DataFrame, sinks: dict[str, tuple[tuple[str, ...], callable]]) -> dict[str, Exception]:
-    """Writes each sink its items' records; one that fails stops no other. Returns the failures by name. sinks: name -> (items, write)."""
+@dataclass(frozen=True)
+class Sink:
+    """Where the records of these items (all, if none are named) go: write(records, path)."""
+
+    path: str
+    write: callable
+    items: tuple[str, ...] = field(default=())
+
+
+def export(records: DataFrame, sinks: dict[str, Sink]) -> dict[str, Exception]:
+    """Writes each sink its items' records; one that fails stops no other. Returns the failures by name. Records are computed once; two sinks may not claim one path."""
+    paths = [s.path.rstrip("/") for s in sinks.values()]
+    if twice := sorted({p for p in paths if paths.count(p) > 1}):
+        raise ValueError(f"several sinks write to {', '.join(twice)}")
     failed: dict[str, Exception] = {}
-    for name, (items, write) in sinks.items():
+    records = settle(records) if len(sinks) > 1 else records
+    for name, sink in sinks.items():
         try:
-            write(records.where(F.col("item").isin(*items)) if items else records)
+            sink.write(records.where(F.col("item").isin(*sink.items)) if sink.items else records, sink.path)
         except Exception as e:  # noqa: BLE001
             failed[name] = e
     return failed
 
 
-def decode(body: Column, content_type: Column) -> Column:
-    """Text of a body: by the charset its type names, else by its byte-order mark, else UTF-8, else windows-1252; nothing is dropped."""
-    named = F.lower(F.regexp_extract(content_type, r"(?i)charset=[\"']?([A-Za-z0-9_.:\-]+)", 1))
-    known = F.when(named.isin("utf-8", "utf8", "us-ascii"), "UTF-8").when(named.isin("iso-8859-1", "latin1", "windows-1252"), "ISO-8859-1").when(named.isin("utf-16le", "utf-16be", "utf-16"), F.upper(named))
-    head = F.hex(F.substring(body, 1, 3))
-    mark = F.when(head == "EFBBBF", "UTF-8").when(head.startswith("FEFF"), "UTF-16BE").when(head.startswith("FFFE"), "UTF-16LE")
-    valid = F.is_valid_utf8(body.cast("string"))
-    charset = F.coalesce(known, mark, F.when(valid, "UTF-8").otherwise("ISO-8859-1"))
-    text = F.when(charset == "UTF-8", F.make_valid_utf8(body.cast("string"))).when(charset == "UTF-16BE", F.decode(body, "UTF-16BE")).when(charset == "UTF-16LE", F.decode(body, "UTF-16LE")).when(charset == "UTF-16", F.decode(body, "UTF-16")).otherwise(F.decode(body, "ISO-8859-1"))
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "^\\uFEFF", "")
-
-
 def job_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Job documents below a path (JSON, one a file) as name and text; as a stream, new ones as they come."""
     reader = spark.readStream if stream else spark.read

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import html, urls
 from grainmill.operators import classify, crawl, entities, extract, frontier, robots
+from grainmill.operators import records
 from grainmill.operators import records as R
 from grainmill.operators.scope import Scope, allows
 from grainmill.plans import job as J
-from grainmill.sources import tables
+from grainmill.plans.job import Item, Property
+from grainmill.sources import charsets, tables
 
 
 def test_urls(spark):
@@ -139,17 +141,110 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pq")).columns == ["url", "fetched", "spec", "x"]
     with pytest.raises(ValueError):
         tables.Layout(("url",))
-    failed = tables.export(rows, {"bad": ((), lambda df: 1 / 0), "good": (("a",), lambda df: df.count())})
+    failed = tables.export(rows, {"bad": tables.Sink("x", lambda df, path: 1 / 0), "good": tables.Sink("y", lambda df, path: df.count(), ("a",))})
     assert list(failed) == ["bad"]
 
 
-def test_crawl_has_no_page_limit_by_default(spark):
-    start = spark.range(1203).selectExpr("concat('http://a.example.com/', id) as url")
+def test_crawl_without_a_limit(spark):
+    start = spark.range(303).selectExpr("concat('http://a.example.com/', id) as url")
     pages = start.selectExpr("url", "200 as status", "url as body")
     links = lambda rows: rows.withColumn("links", F.when(F.col("depth") < 1, F.array(F.concat("url", F.lit("/x")))).otherwise(F.array().cast("array<string>")))
-    plan = crawl.CrawlPlan(scope=Scope(domains=("example.com",)), wave=800)
-    answers, todo, how = crawl.crawl(start, pages, links, plan)
-    got = crawl.statistics(answers, todo).first().asDict()
-    assert how == "finished" and got == {"fetched": 1203, "missing": 1203, "failed": 0, "queued": 0}
-    plan.max_pages = 5
-    assert crawl.crawl(start, pages, links, plan)[2] == "budget spent"
+    pages = pages.unionByName(pages.selectExpr("concat(url, '/x') as url", "status", "body"))
+    done = crawl.crawl(start, crawl.Site(pages), links, crawl.CrawlPlan(scope=Scope(domains=("example.com",)), wave=400))
+    assert done.ending == "finished" and crawl.statistics(done).first().asDict() == {"fetched": 606, "cached": 0, "dropped": 0, "failed": 0, "queued": 606, "waiting": 0, "abandoned": 0}
+
+
+def test_bodies_are_cut_by_bytes(spark):
+    pages = spark.createDataFrame([("u", 200, "aé日本"), ("v", 200, "abc")], "url string, status int, body string")
+    for cap, want in ((8, "aé日"), (9, "aé日本"), (2, "a"), (3, "aé"), (0, "")):
+        got = crawl.fetch(spark.createDataFrame([("u",)], "url string"), pages, cap, truncate=True).first()["body"]
+        assert got == (want if cap != 8 else "aé日") and len(got.encode()) <= cap
+    assert crawl.fetch(spark.createDataFrame([("u",)], "url string"), pages, 3).first()["failed"] == "body too large"
+
+
+@pytest.mark.parametrize(
+    ("body", "kind", "want"),
+    [
+        (b"\x93caf\xe9\x94", "text/html; charset=ISO-8859-1", "“café”"), (b"\x93x\x81", "", "“x\x81"), ("привет".encode("cp1251"), "text/html; charset=windows-1251", "привет"),
+        (b'<meta charset="shift_jis">' + "日本".encode("cp932"), "text/html", '<meta charset="shift_jis">日本'), (b"<meta http-equiv=x content='text/html; charset=euc-kr'>" + "한국".encode("euc_kr"), "", "<meta http-equiv=x content='text/html; charset=euc-kr'>한국"),
+        ("é日".encode("utf-16-le"), "text/html; charset=utf-16le", "é日"), (b"\xfe\xff" + "é".encode("utf-16-be") + b"\x00", "", "é\ufffd"), (b"\xef\xbb\xbfa\xc3\xa9", "text/html; charset=koi8-r", "aé"),
+        (b"ok \xff", "text/html; charset=utf-8", "ok \ufffd"), (b"plain", "text/html; charset=no-such", "plain"), ("汉字".encode("gb18030"), "text/html; charset=gb2312", "汉字"), (b"x", "text/html; charset=rot13", "x"), (None, None, ""), (b"", "text/html", ""),
+    ],
+)
+def test_charsets(spark, body, kind, want):
+    row = spark.createDataFrame([(bytearray(body) if body is not None else None, kind)], "body binary, kind string")
+    assert row.select(charsets.decode(F.col("body"), F.col("kind")).alias("t")).first()["t"] == want
+
+
+def test_leases_cool_hosts_and_reports_end_them(spark):
+    now = F.timestamp_seconds(F.lit(1000))
+    urls_ = spark.createDataFrame([("j", h, f"http://{host}/{h}", host, 0, 0.5, "waiting", 0) for h, host in (("1", "a"), ("2", "a"), ("3", "b"))], "job string, hash string, url string, host string, depth int, score double, status string, attempts int").withColumn("discovered", now).withColumn("ready_at", F.lit(None).cast("timestamp"))
+    hosts = spark.createDataFrame([("a", None, 5.0)], "host string, next_at timestamp, delay double")
+    leased = frontier.lease(urls_, hosts, now, 10)
+    assert {r["hash"] for r in leased.collect()} == {"1", "3"}
+    out, cool = frontier.after_lease(urls_, hosts, leased, now, 60.0)
+    assert {(r["hash"], r["attempts"], r["ready_at"] is not None) for r in out.collect()} == {("1", 1, True), ("2", 0, False), ("3", 1, True)}
+    assert {r["host"]: r["next_at"] is not None for r in cool.collect()} == {"a": True}
+    assert frontier.lease(out, cool, now, 10).count() == 0 and frontier.next_due(out, cool, now) == 1005.0
+    paced = frontier.pace(cool, spark.createDataFrame([("a", -1.0), ("c", 9.0)], "host string, delay double"), now)
+    assert {r["host"]: r["delay"] for r in paced.collect()} == {"a": 0.0, "c": 9.0}
+    assert frontier.lease(urls_, hosts.limit(0), now, 2, "random").count() == 2
+
+
+def test_small_parts(spark, tmp_path):
+    rows = spark.createDataFrame([("i", "u", 1), ("i", "u", 2)], "item string, url string, seq long")
+    with pytest.raises(ValueError, match="two records"):
+        records.require_unique(rows)
+    assert records.require_unique(rows.limit(1)).count() == 1
+    aliases = spark.createDataFrame([("a", "c"), ("b", "c")], "alias string, canonical string")
+    assert entities.unmerge(aliases, spark.createDataFrame([("a",)], "id string")).count() == 1
+    edges = spark.createDataFrame([("a", "x", "k", "", 2), ("c", "a", "k", "", 1)], "source string, target string, kind string, topic string, position int")
+    assert [(r["c_source"], r["c_target"]) for r in entities.relations_of(edges, aliases, spark.createDataFrame([("c",)], "id string")).collect()] == [("c", "c"), ("c", "x")]
+    with pytest.raises(Exception, match="reserved"):
+        entities.checked(spark.createDataFrame([("Topic",)], "name string")).collect()
+    assert extract.overall(spark.createDataFrame([(1, 4), (3, 4)], "found long, pages long")).first()["rate"] == 0.5
+    tables.write_json_lines(rows, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
+    tables.write_json_array(rows.limit(0), str(tmp_path / "none"))
+    assert "".join(p.read_text() for p in (tmp_path / "none").glob("part-*")).split() == ["[", "]"]
+    tables.write_json_array(rows, str(tmp_path / "two"))
+    assert [r["url"] for r in json.loads("".join(p.read_text() for p in (tmp_path / "two").glob("part-*")))] == ["u", "u"]
+    assert tables.job_files(spark, str(tmp_path / "lines")).count() >= 1
+    with pytest.raises(ValueError, match="several sinks"):
+        tables.export(rows, {"a": tables.Sink("/x/", tables.write_json_lines), "b": tables.Sink("/x", tables.write_json_lines)})
+
+
+def test_selectors_with_siblings_and_negation():
+    page = html.Page("u", "<ul><li class=a>1</li><li>2</li><li class=b>3</li><li>4</li></ul><p></p><p>x</p>")
+    at = lambda s: (lambda r: None if r is None else page.text(r))(html.css_first(page, 0, s))
+    assert [at(s) for s in ("li + li", ".a ~ .b", ".b + li", "li:not(.a)", "li:not(.a):not(:nth-child(2))", "li:nth-child(2n+2)", "li:nth-child(even)", "p:not(:empty)", "p:last-of-type", "li:first-of-type", "p + p", ".b ~ .a")] == ["2", "3", "4", "2", "3", "2", "2", "x", "x", "1", "x", None]
+    for bad in ("li +", "+ li", "li:not(", "li:odd(1)"):
+        with pytest.raises(ValueError):
+            html.selector(bad)
+
+
+def test_induction_by_brute_force(spark):
+    pages = [(f"http://x/{i}", f'<div id="box"><h2 class="head">{t}</h2><p class="t">{t if i % 3 else "other"}</p><span>{t if i < 2 else ""}</span></div>') for i, t in enumerate(["One", "Two", "Three", "Four", "Five"])]
+    item = Item("a", properties=(Property("title", css=("h2",)), Property("none", css=("h5",))))
+    got = extract.induce(spark.createDataFrame(pages, "url string, html string"), (item,)).collect()
+    # of all selectors that give the title on at least three of five pages, h2's own class and box lead; by worth, depth, spaces, length
+    support = {}
+    for u, m in pages:
+        page = html.Page(u, m)
+        want = page.text(html.css_first(page, 0, "h2"))
+        for s in {s for r in range(1, len(page.rows)) if page.value(r) == want for s, _ in extract.selectors_for(page, r)}:
+            row = html.css_first(page, 0, s)
+            support[s] = support.get(s, 0) + (page.value(row) == want)
+    most = max(support.values())
+    best = sorted((s for s, n in support.items() if n == most), key=lambda s: (-max(w for u, m in pages for p in [html.Page(u, m)] for r in range(1, len(p.rows)) for x, w in extract.selectors_for(p, r) if x == s), s.count(" "), len(s), s))[0]
+    assert [(r["property"], r["selector"], r["support"], r["pages"]) for r in got] == [("title", best, most, 5)]
+    learned = extract.learned((item,), got)
+    assert learned[0].properties[0].css == ("h2",) and extract.learned((item,), got, replace=True)[0].properties[0].css == (best,)
+
+
+def test_job_documents_come_back():
+    job = J.build(J.Job, {"name": "j", "start": ["http://a/"], "items": [{"name": "i", "properties": [{"name": "p", "css": ["a"], "properties": [{"name": "q"}]}]}], "steps": [{"kind": "rank", "name": "i", "options": {"limit": 3}}], "stages": [{"at": "spider", "name": "httperror", "options": {"allow": [404]}}]})
+    assert J.parse(J.printed(job)) == job
+    assert J.topics('{"a@b": {"terms": ["x"], "about": ["u"]}}') == {"a@b": {"terms": ("x",), "about": ("u",), "not": ()}}
+    with pytest.raises(ValueError, match="no @; ab: both about and not: u"):
+        J.topics('{"ab": {"about": ["u"], "not": ["u"]}}')
