@@ -161,6 +161,19 @@ def frontier_report(spark, sf_dir):
     return frontier.report(rows, reports).groupBy("status").agg(F.count("*").alias("urls"))
 
 
+def frontier_wave(spark, sf_dir):
+    """A wave over a large frontier: a URL for each order, on up to 5,000 hosts, a third of them without a pause."""
+    orders = read(spark, sf_dir, "orders")
+    host = F.concat(F.lit("h"), F.col("o_custkey") % 5000, F.lit(".example.com"))
+    rows = orders.select(
+        F.lit("job").alias("job"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("hash"), F.concat(F.lit("http://"), host, F.lit("/"), "o_orderkey").alias("url"), host.alias("host"), (F.col("o_orderkey") % 7).cast("int").alias("depth"),
+        ((F.col("o_orderkey") * 37 % 1000) / 1000.0).alias("score"), F.timestamp_seconds(F.lit(1_704_067_200) - F.col("o_orderkey")).alias("discovered"), F.lit("waiting").alias("status"), F.lit(None).cast("timestamp").alias("ready_at"), F.lit(0).alias("attempts"),
+    )
+    n = F.regexp_extract("host", "^h([0-9]+)", 1).cast("int") % 3
+    hosts = rows.select("host").distinct().select("host", F.lit(None).cast("timestamp").alias("next_at"), F.when(n == 0, 0.0).otherwise(5.0).alias("delay"))
+    return frontier.lease(rows, hosts, now(), 10_000_000).select("hash", "host", "depth", "score", "wait")
+
+
 def fetch_wave(spark, sf_dir):
     wave = _lease("priority")(spark, sf_dir)
     rows = _frontier(spark, sf_dir).join(wave.select("hash"), "hash", "left_semi").select("hash", "url")
@@ -289,7 +302,7 @@ def _link_sql(src: str, terms: dict[str, float]) -> str:
 
 QUERIES = {f.__name__: f for f in (
     crawl_plan, url_normalise, url_strip_tracking, url_sort_query, url_dot_segments, url_host_domain, url_hash, scope_filter, scope_glob, depth_limit, drop_reasons,
-    frontier_add, frontier_len, frontier_report, fetch_wave, body_cap, cache_lookup, corpus_scan, decode_utf8, robots_gate, redirect_resolve, link_topic_score,
+    frontier_add, frontier_len, frontier_report, frontier_wave, fetch_wave, body_cap, cache_lookup, corpus_scan, decode_utf8, robots_gate, redirect_resolve, link_topic_score,
     discovered_links, extract_title, extract_h1_css, extract_regex, fill_rates, train_locators, records_flat, self_sources, crawl_stats,
 )} | {"frontier_lease": _lease("priority"), "lease_breadth": _lease("breadth"), "lease_depth": _lease("depth")}
 
@@ -324,6 +337,9 @@ select seq, host, hash, sc as score from b where nth = 1 order by sc desc, seq l
     "frontier_lease": _lease_sql("score desc, seq, hash"),
     "lease_breadth": _lease_sql("depth, seq, hash"),
     "lease_depth": _lease_sql("depth desc, seq desc, hash desc"),
+    "frontier_wave": """with r as (select md5(o_orderkey::varchar) as hash, 'h' || (o_custkey % 5000) || '.example.com' as host, (o_orderkey % 7)::int as depth, (o_orderkey * 37 % 1000) / 1000.0::double as score, case when o_custkey % 5000 % 3 = 0 then 0.0 else 5.0 end::double as wait, o_orderkey from orders),
+l as (select *, row_number() over (partition by host order by score desc, o_orderkey desc, hash) as nth from r)
+select hash, host, depth, score, wait from l where nth = 1 or wait = 0""",
     "fetch_wave": f"""with {_F},
 w as (select f.*, case when hs.n = 1 then 5.0 else 0.0 end::double as wait from f join hs using (host) where hs.n <> 0),
 l as (select *, row_number() over (partition by host order by score desc, seq, hash) as nth from w),
