@@ -4,6 +4,10 @@ Each stage is written to the shared folder and read again as the next one's docu
 language can be told (no letter) or none is likelier than all others together. Near duplicates: five-word shingles,
 similarity 0.8; one document of each component stays. Mixing: a document the mix repeats is two rows. Packing: all that
 is left, in sequences of 1024 tokens.
+
+Defined results: null and empty texts go in the first stage; rows that repeat id and text are one row after the second;
+a null id is an id like any other, last where ids are ordered; a null source is a source of its own; an empty table gives
+an empty one in every stage. Columns beside those of documents are carried along, whatever their names.
 """
 
 from __future__ import annotations
