@@ -9,7 +9,7 @@ prefixes share, and skipped in all others; pairs below T go, as do those whose s
 confirmed on the full shingle sets.
 
 Equal sets are one class from the start. Lists are worked through in rounds: in each, the next documents of a list
-(2, then up to 16, and eight times as many each further time; in one order for all lists) meet those documents of the
+(about 2, then sixteen times as many each further time; in one order for all lists) meet those documents of the
 list that no confirmed links join to them yet. So a group of thousands of near copies costs a star or two, not all its
 pairs, and still no link that would join two components is lost: pairs that are skipped are joined already. A list lies
 in blocks of about `BLOCK` documents, which go to tasks of their own, and so do the pairs of a block and the documents
@@ -40,7 +40,7 @@ _WORDS = COORDS // LANES
 #: Up to so many links are joined in one task, and so many wanted documents are told to all tasks; more go by shuffles.
 SMALL = 200_000
 #: Documents in a block of a posting list.
-BLOCK = 128
+BLOCK = 1024
 #: Bits of an odd sketch.
 ODD = 1024
 _ONES = sum(((1 << (LANE_BITS - 1)) - 1) << (LANE_BITS * i) for i in range(LANES))
@@ -194,17 +194,13 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: in
     shared = stage(tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1"))
     posts = tokens.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("found"))  # COORDS at most
     posts = posts.withColumn("prefix", F.expr(f"transform(slice(found, 1, greatest(0, {prefix} - ({COORDS} - size(found)))), x -> x.token)")).where("size(prefix) > 0")
-    # a list is ordered by a hash of the key, and cut into blocks by that hash
-    many = F.ceil(F.col("x.freq") / BLOCK)
-    posts = posts.withColumn("hash", F.xxhash64("key")).select("key", "hash", "prefix", F.explode(F.expr("filter(found, x -> array_contains(prefix, x.token))")).alias("x"))
-    part = F.least(many - 1, F.floor((F.col("hash") / float(1 << 64) + 0.5) * many)).cast("int")
-    posts = posts.select("key", "hash", "prefix", "x.token", part.alias("part"))
-    sizes = posts.groupBy("token", "part").agg(F.count("*").alias("n_part"))
-    by_part = Window.partitionBy("token").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = sizes.withColumn("before", F.sum("n_part").over(by_part) - F.col("n_part")).withColumn("of", F.sum("n_part").over(Window.partitionBy("token"))).where("of > 1").drop("n_part")
-    lists = posts.join(sizes, ["token", "part"]).withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("token", "part").orderBy("hash", "key")) - 1)
-    lists = lists.select("key", "token", "prefix", "of", "at", F.floor(F.col("at") / BLOCK).cast("int").alias("block"))
-    lists = stage(lists.join(classes.select("key", "n", "packed", "odd"), "key"))
+    posted = stage(posts.select("key", "prefix").join(classes.select("key", "n", "packed", "odd"), "key"))
+    # a list is ordered by a hash of the key; a document's place in it is as far on as its hash is among all hashes
+    posts = posted.select("key", F.explode("prefix").alias("token"))
+    sizes = posts.groupBy("token").agg(F.count("*").alias("of")).where("of > 1")
+    lists = posts.join(sizes, "token").join(posted, "key").withColumn("hash", F.xxhash64("key"))
+    lists = lists.withColumn("at", F.least(F.col("of") - 1, F.floor((F.col("hash") / float(1 << 64) + 0.5) * F.col("of")))).withColumn("block", F.floor(F.col("at") / BLOCK).cast("int"))
+    lists = stage(lists)
     # the documents that may need confirming, and their sets
     wanted = lists.select("key").distinct().join(classes.select("key", "head.doc_id", "head.th"), "key").select("key", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"))
     wanted = stage(wanted)
@@ -221,30 +217,31 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: in
     # rounds
     longest = lists.agg(F.max("of").alias("n")).first()["n"] or 0
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = lambda rows: F.broadcast(rows) if rows.count() <= SMALL else rows
     links, roots, low, high = None, None, 0, 2
-    while low + 1 < longest:
-        now = lists.where(F.col("of") > low + 1)
+    while low < longest:
+        now = lists.where(F.col("of") > low)
         if roots is not None:
-            now = now.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
-            ends = now.groupBy("token", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-            mixed = ends.groupBy(F.col("token").alias("t")).agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 <> r1").select("t")
-            mixed = ends.join(mixed, F.col("token") == F.col("t")).select("token", "block")
-            now = stage(now.join(mixed, ["token", "block"], "left_semi"))
+            now = stage(now.join(told(roots), F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
+            mixed = stage(now.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token"))
+            now = now.join(told(mixed), "token", "left_semi")
         else:
             now = now.withColumn("root", F.col("key"))
-        if now.isEmpty():
-            break
+        # a document meets its own block of the list and all after it, block by block
         hubs = now.where((F.col("at") >= low) & (F.col("at") < high)).withColumn("to", F.explode(F.sequence("block", F.floor((F.col("of") - 1) / BLOCK).cast("int"))))
-        hubs = hubs.select("to", *[F.col(c).alias(f"h_{c}") for c in ("token", "key", "n", "packed", "odd", "prefix", "root", "at")])
+        ahead = F.explode(F.sequence(F.lit(low // BLOCK), F.least(F.col("block"), F.lit((high - 1) // BLOCK)))) if high > BLOCK else F.lit(0)
+        now = now.where(F.col("block") >= low // BLOCK).withColumn("of_block", ahead)
+        hubs = hubs.select("to", F.col("block").alias("h_block"), *[F.col(c).alias(f"h_{c}") for c in ("token", "key", "n", "packed", "odd", "prefix", "root", "hash")])
         alike = (F.col("n") * den >= F.col("h_n") * num) & (F.col("h_n") * den >= F.col("n") * num) & (_differ("odd", "h_odd") * (den + num) <= (F.col("n") + F.col("h_n")) * (den - num)) & (_matches("packed", "h_packed") >= least)
         first = F.array_min(F.array_intersect("prefix", "h_prefix")) == F.col("token")
-        here = (F.col("token") == F.col("h_token")) & (F.col("block") == F.col("to")) & (F.col("at") > F.col("h_at")) & (F.col("root") != F.col("h_root"))
-        met = now.repartition(tasks, "token", "block").join(hubs.repartition(tasks, "h_token", "to"), here & alike & first).select(F.col("h_key").alias("a"), F.col("key").alias("b"))
+        after = (F.col("hash") > F.col("h_hash")) | (F.col("hash") == F.col("h_hash")) & (F.col("key") > F.col("h_key"))
+        here = (F.col("token") == F.col("h_token")) & (F.col("block") == F.col("to")) & (F.col("of_block") == F.col("h_block")) & after & (F.col("root") != F.col("h_root"))
+        met = now.repartition(tasks, "token", "block", "of_block").join(hubs.repartition(tasks, "h_token", "to", "h_block"), here & alike & first).select(F.col("h_key").alias("a"), F.col("key").alias("b"))
         good = stage(_confirmed(met, sets, num, den))
         if not good.isEmpty():
             links = good if roots is None else good.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = stage(components(links))
-        low, high = high, 8 * high
+        low, high = high, 16 * high
     # results
     named = classes.select("key", "head")
     if roots is not None:
