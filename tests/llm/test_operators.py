@@ -363,7 +363,8 @@ def test_ppm_word_order_counts(spark):
 
 
 @pytest.mark.parametrize(("size", "num"), [(3, 85), (5, 80)])
-def test_near_duplicates(spark, size, num):
+def test_near_duplicates(spark, monkeypatch, size, num):
+    monkeypatch.setattr(near_dups, "BLOCK", 1024 if size == 3 else 3)
     base = [[f"w{RNG.randrange(500)}" for _ in range(RNG.randrange(3, 120))] for _ in range(25)]
     rows = list(ODD)
     for b in base:
