@@ -118,13 +118,9 @@ def frequent(docs: DataFrame, text: str, model: str, entries: int, sample_docs:
         yield pa.record_batch([pa.array(np.array(top, np.uint64).view(np.int64)), pa.array([n[k] for k in top], pa.int64()), pa.array([min(65535, lengths[words[k].decode()]) for k in top], pa.int32())], ["h", "n", "length"])
 
     share = min(1.0, sample_docs / max(1, docs.count()))
-    found: dict[int, list[int]] = {}
-    for r in docs.select(F.col(text).alias("t")).sample(share, 1).mapInArrow(heads, "h long, n long, length int").toLocalIterator():
-        if r["length"] < 65535:
-            found.setdefault(r["h"], [0, r["length"]])[0] += r["n"]
-    top = np.array(sorted(found, key=lambda k: (-found[k][0], k))[:entries], np.int64)
-    lengths = np.array([found[k][1] for k in top.tolist()], np.uint16)
-    keys = top.view(np.uint64)
+    found = docs.select(F.col(text).alias("t")).sample(share, 1).mapInArrow(heads, "h long, n long, length int").where("length < 65535")
+    top = found.groupBy("h").agg(F.sum("n").alias("n"), F.first("length").alias("length")).orderBy(F.col("n").desc(), "h").limit(entries).toArrow()
+    keys, lengths = top.column(0).to_numpy().view(np.uint64), top.column(2).to_numpy().astype(np.uint16)
     order = np.argsort(keys)
     return keys[order], lengths[order]
 
