@@ -102,6 +102,23 @@ def cosine(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, long_a: n
     return np.clip(out, -1, 1)
 
 
+def centroids_of(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of the unit vectors of each dimension: sums in tasks, then by component."""
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for dim, _, vectors in _by_dim(batch):
+                total[dim] = total.get(dim, 0) + np.append(_unit(vectors).sum(0), len(vectors))
+        for dim, x in total.items():
+            yield pa.record_batch([pa.array(np.full(dim + 1, dim), pa.int32()), pa.array(np.arange(dim + 1), pa.int32()), pa.array(x, pa.float64())], ["dim", "i", "x"])
+
+    made: dict[int, np.ndarray] = {}
+    for r in rows.mapInArrow(sums, "dim int, i int, x double").groupBy("dim", "i").agg(F.sum("x").alias("x")).collect():  # a row for each component
+        made.setdefault(r["dim"], np.zeros(r["dim"] + 1))[r["i"]] = r["x"]
+    return {dim: x[:-1] / x[-1] for dim, x in made.items()}
+
+
 def index(rows: DataFrame, centroids: dict[int, np.ndarray], seed: int) -> DataFrame:
     """Blocks of rows: dim, ids, codes, scalars, vectors."""
 
@@ -174,12 +191,9 @@ def search(vectors: DataFrame, asked: Column, vec_id: str = "vec_id", embedding:
     """query_id, rank, vec_id, score: of each row of `vectors` for which `asked` (on `id`) holds, its k nearest others by cosine."""
     rows = _usable(vectors, vec_id, embedding)
     share = min(1.0, sample_rows / max(1, vectors.count()))
-    seen: dict[int, list] = {}
-    for r in rows.sample(share, 3).toLocalIterator():
-        seen.setdefault(len(r["v"]), []).append(r["v"])
-    centroids = {dim: _unit(np.array(v)).mean(0) for dim, v in seen.items()}
+    centroids = centroids_of(rows.sample(share, 3))
     blocks = stage(index(rows, centroids, seed))
-    queries = rows.where(asked).distinct()
+    queries = stage(rows.where(asked).distinct())
     parts, out = max(1, -(-queries.count() // query_block)), None
     for part in range(parts):  # each part is a bounded number of queries against all blocks
         taken: dict[int, list] = {}
