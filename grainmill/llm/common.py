@@ -21,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the cluster's shared folder; gone when the driver ends."""
+    """A new folder name below the cluster's shared folder (on this machine alone, as in tests, a temporary one where that is unset); gone when the driver ends."""
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="grainmill-")
         sc.setCheckpointDir(top)
         top = sc.getCheckpointDir()

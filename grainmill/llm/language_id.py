@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import text_bytes, row_chunks
 
 ORDERS = (1, 2, 3)
+#: Languages of a model at most: its matrix takes 128 KiB for each.
+MOST = 2048
 
 
 @functools.cache
@@ -72,6 +74,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", bits: int = 15
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("l"), F.col(text).alias("t"), F.xxhash64(*docs.columns).alias("h"))
     totals = sorted((r["l"], r["n"]) for r in docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).collect())
     labels = tuple(k for k, _ in totals)
+    if len(labels) > MOST:
+        raise ValueError(f"{len(labels)} labels; the matrix that is broadcast holds {MOST} at most")
     if not labels:
         return LanguageModel((), np.zeros((1 << bits, 0), np.float32), np.zeros(0), bits)
     share = F.create_map(*[F.lit(x) for k, n in totals for x in (k, min(1.0, sample_docs / n))])
@@ -94,8 +98,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", bits: int = 15
 
     counts = np.zeros((1 << bits, len(labels)))
     sample = rows.where((F.col("h").bitwiseAND(0xFFFFFF) / float(1 << 24)) < share[F.col("l")]).select("l", "t")
-    for r in sample.mapInArrow(count, "l int, b int, n long").groupBy("b", "l").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["b"], r["l"]] = r["n"]
+    rows = sample.mapInArrow(count, "l int, b int, n long").groupBy("b", "l").agg(F.sum("n").alias("n")).toArrow()
+    counts[rows.column(0).to_numpy(), rows.column(1).to_numpy()] = rows.column(2).to_numpy()
     smooth = np.log(counts + alpha) - np.log(counts.sum(0) + alpha * (1 << bits))
     n = np.array([n for _, n in totals], float)
     return LanguageModel(labels, smooth.astype(np.float32), np.log(n / n.sum()), bits)
