@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,48 @@ def discovered(pages: DataFrame, links: str = "links", options: urls.UrlOptions
     return rows.select("url", urls.host(F.col("url")).alias("host"), urls.url_hash(F.col("url")).alias("hash"), (F.col("depth") + 1).alias("depth"), "parent", "seq", "place")
 
 
+#: What a fetcher gives: a row for each page that answered.
+PAGE = "url string, status int, body string, location string"
+
+
+def by_host(fetch_one: Callable[[str], tuple[int, str, str | None] | None], tasks: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A live source of pages from a function of a URL (status, body, location; None or an error: no answer). A host's URLs go to one task, one after the other."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for url in batch["url"]:
+                try:
+                    answer = fetch_one(url)
+                except Exception:  # noqa: BLE001  a fetch that fails is a page that isn't there; it is tried again
+                    answer = None
+                if answer is not None:
+                    rows.append((url, *answer))
+            yield pd.DataFrame(rows, columns=["url", "status", "body", "location"])
+
+    def source(requests: DataFrame) -> DataFrame:
+        rows = requests.select("url", urls.host(F.col("url")).alias("host"))
+        rows = rows.repartition(tasks, "host") if tasks else rows.repartition("host")
+        return rows.select("url").mapInPandas(run, PAGE)
+
+    return source
+
+
+def answered(requests: DataFrame, source: Callable[[DataFrame], DataFrame], scope: Scope, most: int, guard: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """The pages that a live source gives for these requests and for what they are redirected to."""
+    got, asked = None, requests.select("url").distinct()
+    for _ in range(most + 1):
+        if guard:
+            asked = guard(asked).where("verdict is null").select("url")
+        new = settle(source(asked))
+        got = new if got is None else got.unionByName(new)
+        to = new.where(F.col("status").isin(301, 302, 303, 307, 308)).select(urls.resolve(F.col("url"), F.col("location")).alias("url")).where(F.col("url").isNotNull() & allows(scope, F.col("url")))
+        asked = settle(to.distinct().join(got.select("url"), "url", "left_anti"))
+        if asked.isEmpty():
+            break
+    return got
+
+
 def accepted(status: Column, allow: tuple[int, ...] = (), allow_all: bool = False) -> Column:
     """Whether a response is read: 2xx, the statuses allowed besides, or any."""
     if allow_all:
@@ -89,9 +132,9 @@ def accepted(status: Column, allow: tuple[int, ...] = (), allow_all: bool = Fals
 
 @dataclass(frozen=True)
 class Site:
-    """What is fetched from: pages (url, status, body; location where there are redirects), robots files (origin, status, body), a cache."""
+    """What is fetched from: pages (url, status, body; location where there are redirects) or a live source of them, robots files (origin, status, body), a cache."""
 
-    pages: DataFrame
+    pages: DataFrame | Callable[[DataFrame], DataFrame]
     robots: DataFrame | None = None
     cache: CacheStore | None = None
 
@@ -151,13 +194,14 @@ def visit(leased: DataFrame, site: Site, plan: CrawlPlan, now: Column) -> DataFr
     else:
         rows = rows.withColumn("cached_body", F.lit(None).cast("string")).withColumn("hit", F.lit(False))
     asked = rows.where("not hit").drop("cached_body", "hit")
-    moves = "location" in site.pages.columns
+    pages = answered(asked, site.pages, plan.scope, plan.max_redirects, guard) if callable(site.pages) else site.pages
+    moves = "location" in pages.columns
     if moves or guard:
-        edges = site.pages if moves else site.pages.withColumn("location", F.lit(None).cast("string"))
+        edges = pages if moves else pages.withColumn("location", F.lit(None).cast("string"))
         asked = follow(asked, edges, plan.scope, plan.max_redirects, guard)
     else:
         asked = asked.withColumn("final_url", F.col("url")).withColumn("outcome", F.lit("ok"))
-    fetched = fetch(asked, site.pages, plan.body_cap, plan.truncate, "final_url")
+    fetched = fetch(asked, pages, plan.body_cap, plan.truncate, "final_url")
     why = F.when(F.col("outcome") != "ok", F.col("outcome")).when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("status").isNull(), "missing")
     lost = F.col("why").isin("missing", "too many redirects", "body too large")
     fetched = fetched.withColumn("why", why).withColumn("cached", F.lit(False))

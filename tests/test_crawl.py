@@ -109,6 +109,17 @@ def test_classifiers_by_name(spark, tmp_path):
     assert classify.link_threshold(spark.createDataFrame([("http://x/red/fox", 0.2), ("http://x/none", 0.9)], "url string, score double"), classify.by_terms(classify.Terms(("fox",))), 0.1, 0.9).count() == 1
 
 
+def test_a_live_source(spark, site):
+    table = {u: (s, b, to) for u, s, b, to in PAGES}
+    asked = spark.createDataFrame([("http://a.example.com/moved",), ("http://a.example.com/away",), ("http://a.example.com/missing",)], "url string")
+    source = crawl.by_host(lambda url: table[url], 2)
+    got = crawl.answered(asked, source, Scope(domains=("example.com",)), 10, None)
+    assert {r["url"][20:] for r in got.collect()} == {"/moved", "/three", "/away"}
+    leased = asked.selectExpr("'j' job", "md5(url) hash", "url", "'a.example.com' host", "0 depth", "0.5 score", "1 attempts")
+    seen = crawl.visit(leased, crawl.Site(source), crawl.CrawlPlan(scope=Scope(domains=("example.com",))), F.current_timestamp())
+    assert {(r["url"][20:], r["outcome"], r["why"], r["final_url"][20:]) for r in seen.collect()} == {("/moved", "fetched", None, "/three"), ("/away", "dropped", "out of scope", "/away"), ("/missing", "failed", "missing", "/missing")}
+
+
 def test_what_is_missing_is_told_at_once(spark, site):
     with pytest.raises(ValueError, match="no spider stage a, b"):
         run_.plan_of(spark, J.build(J.Job, {**JOB, "stages": [{"at": "spider", "name": n} for n in "ab"]}), site)
