@@ -135,8 +135,9 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: in
     by_task = cut.groupBy(F.col("part").alias("p"), F.col("length").alias("l")).agg(F.count("*").alias("n"))
     counts = {r["l"]: r["n"] for r in by_task.groupBy("l").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
     before = by_task.select("p", "l", (F.sum("n").over(Window.partitionBy("l").orderBy("p")) - F.col("n")).alias("before"))
-    slots = cut.sparkSession.createDataFrame(plan(counts, length), "slot_length long, low long, high long, each long, first long, place long")
-    if len(counts) <= 1 << 16:  # the slots are a few for each length
+    made = plan(counts, length)
+    slots = cut.sparkSession.createDataFrame(made, "slot_length long, low long, high long, each long, first long, place long")
+    if len(made) <= 1 << 16:  # a few for each length, so many only where sequences are very long
         slots = F.broadcast(slots)
     placed = cut.join(before, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).withColumn("rank", F.col("nth") + F.col("before"))
     placed = placed.join(slots, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
