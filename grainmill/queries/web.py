@@ -233,7 +233,7 @@ def link_topic_score(spark, sf_dir):
 
 
 def discovered_links(spark, sf_dir):
-    rows = _read(spark, sf_dir).select(F.col("url"), F.lit(0).alias("depth"), F.col("page_id").alias("seq"), "links")
+    rows = _read(spark, sf_dir, ()).select(F.col("url"), F.lit(0).alias("depth"), F.col("page_id").alias("seq"), "links")
     return crawl.discovered(rows, options=STRIP).groupBy("parent").agg(F.count("*").alias("links"), F.min("url").alias("least"), F.max("url").alias("greatest"), F.max("depth").cast("long").alias("depth"))
 
 
