@@ -291,52 +291,236 @@ def css_first(page: Page, within: int, text: str) -> int | None:
     return page.first(within, lambda i: selects(page, i, compiled))
 
 
-_STEP = re.compile(r"(//|/)?(@[\w:-]+|text\(\)|[\w-]+|\*)((?:\[[^\]]*\])*)")
-_TEST = re.compile(r"""^(?:(\d+)|@([\w:-]+)(?:\s*=\s*(?:'([^']*)'|"([^"]*)"))?|contains\(\s*@([\w:-]+)\s*,\s*(?:'([^']*)'|"([^"]*)")\s*\))$""")
+# Paths: steps along axes with predicates; what a path gives are nodes (row, None), attributes and texts (row, value).
+_LEXEME = re.compile(r"""\s*(?:(//|\.\.|::|!=|<=|>=|[/.@()\[\],|=<>*])|"([^"]*)"|'([^']*)'|(\d+(?:\.\d+)?)|([A-Za-z_][\w.-]*(?::(?!:)[A-Za-z_][\w.-]*)?))""")
+AXES = ("ancestor", "ancestor-or-self", "attribute", "child", "descendant", "descendant-or-self", "following-sibling", "parent", "preceding-sibling", "self")
+FUNCTIONS = {"position": (0, 0), "last": (0, 0), "contains": (2, 2), "starts-with": (2, 2), "normalize-space": (0, 1), "string": (0, 1), "string-length": (0, 1), "not": (1, 1), "count": (1, 1)}
+
+
+class _Paths:
+    """Reads a path into nested tuples."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.tokens = text, 0, []
+        end = 0
+        while text[end:].strip():
+            m = _LEXEME.match(text, end)
+            if not m:
+                raise self.wrong()
+            kind = next(i for i, x in enumerate(m.groups()) if x is not None)
+            self.tokens.append(("sign text text number name".split()[kind], m[kind + 1]))
+            end = m.end()
+
+    def wrong(self) -> ValueError:
+        return ValueError(f"no path: {self.text!r}")
+
+    def sees(self, *values: str, ahead: int = 0) -> bool:
+        return self.at + ahead < len(self.tokens) and self.tokens[self.at + ahead][0] in ("sign", "name") and self.tokens[self.at + ahead][1] in values
+
+    def take(self, *values: str) -> str | None:
+        if not self.sees(*values):
+            return None
+        self.at += 1
+        return self.tokens[self.at - 1][1]
+
+    def need(self, value: str) -> None:
+        if not self.take(value):
+            raise self.wrong()
+
+    def whole(self):
+        paths = [self.path()]
+        while self.take("|"):
+            paths.append(self.path())
+        if self.at < len(self.tokens):
+            raise self.wrong()
+        return paths
+
+    def path(self):
+        first = self.take("/", "//")
+        steps = [("descendant-or-self", "node()", ())] if first == "//" else []
+        if first == "/" and self.at == len(self.tokens):
+            return True, steps
+        steps.append(self.step())
+        while by := self.take("/", "//"):
+            steps += [("descendant-or-self", "node()", ())] * (by == "//") + [self.step()]
+        return bool(first), steps
+
+    def step(self):
+        if self.take("."):
+            return "self", "node()", ()
+        if self.take(".."):
+            return "parent", "node()", ()
+        axis = "child"
+        if self.take("@"):
+            axis = "attribute"
+        elif self.sees("::", ahead=1):
+            axis = self.tokens[self.at][1]
+            self.at += 2
+            if axis not in AXES:
+                raise self.wrong()
+        if self.take("*"):
+            test = "*"
+        elif self.at < len(self.tokens) and self.tokens[self.at][0] == "name":
+            test = self.tokens[self.at][1].lower()
+            self.at += 1
+            if self.take("("):
+                self.need(")")
+                if test not in ("text", "node"):
+                    raise self.wrong()
+                test += "()"
+        else:
+            raise self.wrong()
+        tests = []
+        while self.take("["):
+            tests.append(self.either())
+            self.need("]")
+        return axis, test, tuple(tests)
+
+    def either(self):
+        left = self.both()
+        while self.take("or"):
+            left = ("or", left, self.both())
+        return left
+
+    def both(self):
+        left = self.compared()
+        while self.take("and"):
+            left = ("and", left, self.compared())
+        return left
+
+    def compared(self):
+        left = self.single()
+        sign = self.take("=", "!=", "<", ">", "<=", ">=")
+        return (sign, left, self.single()) if sign else left
+
+    def single(self):
+        if self.at == len(self.tokens):
+            raise self.wrong()
+        kind, value = self.tokens[self.at]
+        if kind in ("text", "number"):
+            self.at += 1
+            return kind, value if kind == "text" else float(value)
+        if self.take("("):
+            inner = self.either()
+            self.need(")")
+            return inner
+        if kind == "name" and self.sees("(", ahead=1) and value not in ("text", "node"):
+            self.at += 2
+            given = []
+            while not self.take(")"):
+                if given:
+                    self.need(",")
+                given.append(self.either())
+            if value not in FUNCTIONS or not FUNCTIONS[value][0] <= len(given) <= FUNCTIONS[value][1]:
+                raise self.wrong()
+            return "call", value, given
+        return "path", self.path()
 
 
 @functools.cache
 def path(text: str):
-    steps, at = [], 0
-    while at < len(text):
-        m = _STEP.match(text, at)
-        if not m or m.end() == at:
-            raise ValueError(f"no path: {text!r}")
-        tests = []
-        for t in re.findall(r"\[([^\]]*)\]", m[3]):
-            if not (x := _TEST.match(t.strip())):
-                raise ValueError(f"no path: {text!r}")
-            tests.append(x.groups())
-        steps.append((m[1] or "/", m[2], tests))
-        at = m.end()
-    return steps
+    """A path, compiled. ValueError if it isn't one."""
+    return _Paths(text).whole()
+
+
+def _text_of(page: Page, node) -> str:
+    return page.text(node[0]) if node[1] is None else node[1]
+
+
+def _along(page: Page, row: int, axis: str):
+    """The elements along an axis, nearest first where it leads back."""
+    above = lambda r: page.rows[r].parent
+    if axis in ("child", "descendant", "descendant-or-self"):
+        if axis == "descendant-or-self":
+            yield row
+        i, end = row + 1, page.rows[row].end
+        while i < end:
+            yield i
+            i = page.rows[i].end if axis == "child" else i + 1
+    elif axis in ("self", "parent"):
+        if (r := row if axis == "self" else above(row)) >= 0:
+            yield r
+    elif axis.startswith("ancestor"):
+        r = row if axis == "ancestor-or-self" else above(row)
+        while r >= 0:
+            yield r
+            r = above(r)
+    elif row:
+        kin = _kin(page, row)
+        at = kin.index(row)
+        yield from kin[at + 1 :] if axis == "following-sibling" else kin[:at][::-1]
+
+
+def _step(page: Page, nodes: list, axis: str, test: str, tests: tuple) -> list:
+    out, seen = [], set()
+    for row, value in nodes:
+        if value is not None:
+            found = [(row, value)] if axis == "self" else []
+        elif axis == "attribute":
+            a = page.rows[row].attributes
+            found = [(row, v) for v in (a.values() if test == "*" else [a[test]] if test in a else [])]
+        elif test == "text()":
+            found = [(r, t) for r in ([row] if axis == "child" else _along(page, row, axis)) if (t := page.raw(r))]
+        else:
+            found = [(r, None) for r in _along(page, row, axis) if test == "node()" or r > 0 and test in ("*", page.rows[r].tag)]
+        for t in tests:
+            found = [x for i, x in enumerate(found) if _holds(_value_of(page, t, x, i + 1, len(found)), i + 1)]
+        for x in found:
+            if x not in seen:
+                seen.add(x)
+                out.append(x)
+    return out
+
+
+def _holds(value, place: int) -> bool:
+    return value == place if isinstance(value, float) else bool(value)
+
+
+def _value_of(page: Page, e, node, place: int, last: int):
+    """A node list, a text, a number or a truth value."""
+    kind = e[0]
+    inner = lambda x: _value_of(page, x, node, place, last)
+    text = lambda v: v if isinstance(v, str) else (_text_of(page, v[0]) if v else "") if isinstance(v, list) else f"{v:g}" if isinstance(v, float) else str(v).lower()
+    if kind in ("text", "number"):
+        return e[1]
+    if kind == "path":
+        return _nodes(page, [(0, None)] if e[1][0] else [node], e[1][1])
+    if kind in ("or", "and"):
+        return any(map(bool, (inner(e[1]), inner(e[2])))) if kind == "or" else bool(inner(e[1])) and bool(inner(e[2]))
+    if kind == "call":
+        name, given = e[1], [inner(x) for x in e[2]]
+        if name in ("position", "last"):
+            return float(place if name == "position" else last)
+        if name == "not":
+            return not given[0]
+        if name == "count":
+            return float(len(given[0])) if isinstance(given[0], list) else 0.0
+        own = [text(x) for x in given] or [_text_of(page, node)]
+        if name in ("contains", "starts-with"):
+            return own[1] in own[0] if name == "contains" else own[0].startswith(own[1])
+        return " ".join(own[0].split()) if name == "normalize-space" else float(len(own[0])) if name == "string-length" else own[0]
+    sides = [inner(e[1]), inner(e[2])]
+    each = [[_text_of(page, x) for x in v] if isinstance(v, list) else [v] for v in sides]
+    return any(_compares(kind, a, b) for a in each[0] for b in each[1])
+
+
+def _compares(sign: str, a, b) -> bool:
+    if sign in ("=", "!=") and not isinstance(a, float) and not isinstance(b, float):
+        return (a == b) == (sign == "=")
+    try:
+        a, b = float(a), float(b)
+    except ValueError:
+        return sign == "!="
+    return {"=": a == b, "!=": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[sign]
+
+
+def _nodes(page: Page, nodes: list, steps: list) -> list:
+    for axis, test, tests in steps:
+        nodes = _step(page, nodes, axis, test, tests)
+    return nodes
 
 
 def xpath_first(page: Page, within: int, text: str) -> tuple[int, str | None] | None:
     """The first match's row, and its value where the path ends at an attribute or text."""
-    rows = [0 if text.startswith("/") else within]
-    for axis, name, tests in path(text):
-        if name.startswith("@"):
-            return next(((r, page.rows[r].attributes[name[1:].lower()]) for r in rows if name[1:].lower() in page.rows[r].attributes), None)
-        if name == "text()":
-            return next(((r, page.raw(r)) for r in rows if page.raw(r)), None)
-        found = []
-        for r in rows:
-            fit = [i for i in page.range(r) if name in ("*", page.rows[i].tag) and (axis == "//" or page.rows[i].parent == r)]
-            for number, has, e1, e2, part, c1, c2 in tests:
-                if number:
-                    kin: dict[int, int] = {}
-                    kept = []
-                    for i in fit:
-                        kin[page.rows[i].parent] = kin.get(page.rows[i].parent, 0) + 1
-                        if kin[page.rows[i].parent] == int(number):
-                            kept.append(i)
-                    fit = kept
-                elif has:
-                    want = e1 if e1 is not None else e2
-                    fit = [i for i in fit if has.lower() in page.rows[i].attributes and (want is None or page.rows[i].attributes[has.lower()] == want)]
-                else:
-                    fit = [i for i in fit if (c1 if c1 is not None else c2) in page.rows[i].attributes.get(part.lower(), "")]
-            found += [i for i in fit if i not in found] if len(rows) > 1 else fit
-        rows = found
-    return (rows[0], None) if rows else None
+    found = [x for top, steps in path(text) for x in _nodes(page, [(0 if top else within, None)], steps) if x != (0, None)]
+    return min(found, key=lambda x: x[0]) if found else None

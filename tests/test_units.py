@@ -248,3 +248,17 @@ def test_job_documents_come_back():
     assert J.topics('{"a@b": {"terms": ["x"], "about": ["u"]}}') == {"a@b": {"terms": ("x",), "about": ("u",), "not": ()}}
     with pytest.raises(ValueError, match="no @; ab: both about and not: u"):
         J.topics('{"ab": {"about": ["u"], "not": ["u"]}}')
+
+
+def test_paths():
+    page = html.Page("u", "<div id=a><p class='x y'>One <b>two</b></p><p>Three</p><ul><li>1</li><li data-n=7>2</li></ul></div><div><p>Last</p></div>")
+    at = lambda s: (lambda r: None if r is None else " ".join((page.text(r[0]) if r[1] is None else r[1]).split()))(html.xpath_first(page, 0, s))
+    want = {
+        "//p": "One two", "//p[2]": "Three", "//div[2]/p": "Last", "//p/b": "two", "//li/@data-n": "7", "//p[@class]/text()": "One", "//p[contains(@class, 'y')]": "One two", "//li[last()]": "2", "//p[text()='Three']": "Three",
+        "//li[@data-n > 6 and not(@id)]": "2", "//b/..": "One two", "//b/ancestor::div/@id": "a", "//p[starts-with(., 'La') or false]": "Last", "//ul/li[position()=2]/preceding-sibling::li": "1", "//p[normalize-space()='Three']": "Three",
+        "//div[count(p)=1]//p": "Last", "//h1 | //ul/li[1]": "1", "/div[@id='a']/p[2]": "Three", "//p[string-length(.) = 4]": "Last", "//*[@data-n]": "2", "//nothing": None, "//div[p='Three']/@id": "a",
+    }
+    assert {s: at(s) for s in want} == want
+    for bad in ("//p[", "//p]", "p[foo()]", "//p/odd::x", "", "//p[contains(@a)]"):
+        with pytest.raises(ValueError):
+            html.path(bad)
