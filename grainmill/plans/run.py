@@ -130,7 +130,8 @@ def _rank(job: Job, item: Item | None, s: Step) -> Callable[[DataFrame], DataFra
     if o.get("limit", 0) < 0:
         raise ValueError(f"{s.address}: a limit of {o['limit']}")
     by = o.get("by") or (item.time if item else "") or "url"
-    return lambda rows: R.rank(rows, by, bool(o.get("descending")), o.get("limit") or None, s.name, _names(job))
+    # the order is kept in seq, as tables have none of their own
+    return lambda rows: R.rank(rows, by, bool(o.get("descending")), o.get("limit") or None, s.name, _names(job)).withColumn("seq", F.monotonically_increasing_id())
 
 
 def _entities(job: Job, item: Item | None, s: Step) -> Callable[[DataFrame], DataFrame]:
