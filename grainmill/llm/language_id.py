@@ -86,7 +86,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", bits: int = 15
         for batch in batches:
             names, column = batch.column(0).to_pylist(), batch.column(1)
             _, offsets = text_bytes(column)
-            for low, high in row_chunks(offsets, 1 << 20):
+            for low, high in row_chunks(offsets, 1 << 18):
                 grams, rows, _ = hashed_grams(column.slice(low, high - low).to_pylist(), bits)
                 of = np.array([place[x] for x in names[low:high]])
                 for g, r in zip(grams, rows, strict=True):
@@ -110,7 +110,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     keep = tuple(c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     spread = docs.sparkSession.sparkContext.broadcast((model.labels, model.log_prob, model.prior, model.bits))
-    chunk = max(1 << 14, (4 << 20) // max(4, len(model.labels)))
+    chunk = max(1 << 14, (1 << 20) // max(4, len(model.labels)))
 
     def score(batches):
         labels, log_prob, prior, bits = spread.value
