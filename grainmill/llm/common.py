@@ -36,8 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def modest(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB at most, unless the session says otherwise than by default: both the JVM and a worker hold one."""
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, "16m")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut there, and a lost executor costs no recomputation."""
+    modest(df.sparkSession)
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

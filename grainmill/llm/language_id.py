@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, row_chunks
+from .common import modest, row_chunks, text_bytes
 
 ORDERS = (1, 2, 3)
 #: Languages of a model at most: its matrix takes 128 KiB for each.
@@ -71,6 +71,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", bits: int = 15
 
     Only the sample is bounded; the class priors come from all labelled rows. What reaches the driver is at most
     2^bits counts a label."""
+    modest(docs.sparkSession)
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("l"), F.col(text).alias("t"), F.xxhash64(*docs.columns).alias("h"))
     totals = sorted((r["l"], r["n"]) for r in docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).collect())
     labels = tuple(k for k, _ in totals)
