@@ -13,8 +13,9 @@ Equal sets are one class from the start. Lists are worked through in rounds: in
 list that no confirmed links join to them yet. So a group of thousands of near copies costs a star or two, not all its
 pairs, and still no link that would join two components is lost: pairs that are skipped are joined already. A list lies
 in blocks of about `BLOCK` documents, which go to tasks of their own, and so do the pairs of a block and the documents
-it meets: no list is one task's work. Components are found with alternating stars (a bounded number of links by union
-in one task).
+it meets: no list is one task's work. Documents beyond the first `ROWWISE` of a list meet it a block at a time, in
+arrays: near copies of one text that are too far from each other are never joined, so all their pairs are counted.
+Components are found with alternating stars (a bounded number of links by union in one task).
 
 Defined results: texts without words (null, empty, white space) have an empty set and are linked with nothing; shorter
 texts than a shingle are one shingle; repeated rows are linked like any equal sets; the component id is the smallest
@@ -41,6 +42,8 @@ _WORDS = COORDS // LANES
 SMALL = 200_000
 #: Documents in a block of a posting list.
 BLOCK = 1024
+#: So many documents of a list meet the others by a join of rows, the rest by arrays.
+ROWWISE = 32
 #: Bits of an odd sketch.
 ODD = 1024
 _ONES = sum(((1 << (LANE_BITS - 1)) - 1) << (LANE_BITS * i) for i in range(LANES))
@@ -122,6 +125,37 @@ def _differ(a: str, b: str) -> Column:
     return out
 
 
+def _meeting(least: int, num: int, den: int):
+    """A function of a block of a list and of the hubs it meets: pairs (a, b) that may be alike enough, each in the first list that both share."""
+    lanes = lambda table, name: np.ascontiguousarray(table.column(name).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1).T)
+    halves = lambda table, name: np.frombuffer(b"".join(table.column(name).to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+    count = lambda x: np.bitwise_count(x).sum(0, dtype=np.int64)
+
+    def run(now: pa.Table, hubs: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(now) and len(hubs):
+            now = now.sort_by([("hash", "ascending"), ("key", "ascending")])
+            token, n, place, keys = now.column("token")[0].as_py(), now.column("n").to_numpy(), now.column("hash").to_numpy(), now.column("key").to_pylist()
+            odd, packed, root, prefix = lanes(now, "odd"), lanes(now, "packed"), halves(now, "root"), now.column("prefix")
+            h_odd, h_packed, h_root = lanes(hubs, "h_odd"), lanes(hubs, "h_packed"), halves(hubs, "h_root")
+            for i, (key, h_n, h_place) in enumerate(zip(*(hubs.column(f"h_{c}").to_pylist() for c in ("key", "n", "hash")), strict=True)):
+                low = int(np.searchsorted(place, h_place))
+                while low < len(place) and place[low] == h_place and keys[low] <= key:
+                    low += 1
+                m = n[low:]
+                fits = (m * den >= h_n * num) & (h_n * den >= m * num) & (root[low:] != h_root[i]).any(1)
+                at = np.flatnonzero(fits & (count(odd[:, low:] ^ h_odd[:, i, None]) * (den + num) <= (m + h_n) * (den - num))) + low
+                if len(at):
+                    at = at[COORDS - count((packed[:, at] ^ h_packed[:, i, None]) + np.uint64(_ONES) & np.uint64(_TOPS)) >= least]
+                    own = set(hubs.column("h_prefix")[i].as_py())
+                    found = [keys[j] for j in at.tolist() if min(own.intersection(prefix[j].as_py())) == token]
+                    a += [key] * len(found)
+                    b += found
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
 def _joined(batches):
     """Union by smaller root, for a bounded number of links."""
     up: dict[bytes, bytes] = {}
@@ -232,11 +266,16 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: in
         ahead = F.explode(F.sequence(F.lit(low // BLOCK), F.least(F.col("block"), F.lit((high - 1) // BLOCK)))) if high > BLOCK else F.lit(0)
         now = now.where(F.col("block") >= low // BLOCK).withColumn("of_block", ahead)
         hubs = hubs.select("to", F.col("block").alias("h_block"), *[F.col(c).alias(f"h_{c}") for c in ("token", "key", "n", "packed", "odd", "prefix", "root", "hash")])
+        now, hubs = now.repartition(tasks, "token", "block", "of_block"), hubs.repartition(tasks, "h_token", "to", "h_block")
         alike = (F.col("n") * den >= F.col("h_n") * num) & (F.col("h_n") * den >= F.col("n") * num) & (_differ("odd", "h_odd") * (den + num) <= (F.col("n") + F.col("h_n")) * (den - num)) & (_matches("packed", "h_packed") >= least)
         first = F.array_min(F.array_intersect("prefix", "h_prefix")) == F.col("token")
         after = (F.col("hash") > F.col("h_hash")) | (F.col("hash") == F.col("h_hash")) & (F.col("key") > F.col("h_key"))
         here = (F.col("token") == F.col("h_token")) & (F.col("block") == F.col("to")) & (F.col("of_block") == F.col("h_block")) & after & (F.col("root") != F.col("h_root"))
-        met = now.repartition(tasks, "token", "block", "of_block").join(hubs.repartition(tasks, "h_token", "to", "h_block"), here & alike & first).select(F.col("h_key").alias("a"), F.col("key").alias("b"))
+        if low < ROWWISE:
+            met = now.join(hubs, here & alike & first).select(F.col("h_key").alias("a"), F.col("key").alias("b"))
+        else:
+            now = now.select("token", "block", "of_block", "key", "n", "packed", "odd", "prefix", "root", "hash")
+            met = now.groupBy("token", "block", "of_block").cogroup(hubs.groupBy("h_token", "to", "h_block")).applyInArrow(_meeting(least, num, den), "a binary, b binary")
         good = stage(_confirmed(met, sets, num, den))
         if not good.isEmpty():
             links = good if roots is None else good.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -396,6 +397,27 @@ def test_near_duplicates(spark, monkeypatch, size, num):
     assert near_dups.linked(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("block", "rowwise"), [(1024, 32), (16, 2)])
+def test_near_copies_too_far_apart(spark, monkeypatch, block, rowwise):
+    """A crowd of near copies of one text, few of them linked: every pair in its long lists has to be looked at."""
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "ROWWISE", rowwise)
+    rng, base, rows = random.Random(7), [f"w{i}" for i in range(200)], []
+    # three of 198 shingles go for each other word: two documents are linked if they have five of those at most
+    for i in range(2500 if block == 1024 else 150):
+        c = list(base)
+        for k in rng.sample(range(4, 200, 4), 2 if i % 10 == 3 else 7 + i % 3):
+            c[k] = f"x{i}.{k}"
+        rows.append((i, " ".join(c)))
+    if len(rows) == 150:
+        sets = [shingles(t, 3) for _, t in rows]
+        assert all((100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) == (i % 10 == j % 10 == 3) for i in range(150) for j in range(i))
+    docs, began = spark.createDataFrame(rows, "doc_id long, text string"), time.time()
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.linked(docs, size=3, num=85).collect()}
+    assert got == {i: 3 if i % 10 == 3 else i for i, _ in rows}
+    assert time.time() - began < 90
+
+
 def test_components_without_the_small_case(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "SMALL", -1)
     edges = [(f"{a:03d}".encode(), f"{a + 7:03d}".encode()) for a in range(60)]
