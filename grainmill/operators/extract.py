@@ -142,24 +142,25 @@ def check(items: tuple[Item, ...]) -> None:
             todo += p.properties
 
 
-def reader(items: tuple[Item, ...], with_text: bool = True):
-    """An Arrow-backed function of (url, markup) with found items, links and, if asked for, the page's text."""
+def reader(items: tuple[Item, ...], with_text: bool = True, closed: bool = False):
+    """An Arrow-backed function of (url, markup) with found items, links and, if asked for, the page's text; closed: character references count only with their semicolon."""
     check(items)
+    parse = html.Closed if closed else html.Page
 
     @F.pandas_udf(f"struct<items:{FOUND},links:array<string>,text:string>")
     def read(url: pd.Series, markup: pd.Series) -> pd.DataFrame:
         rows = []
         for u, m in zip(url, markup, strict=True):
-            page = html.Page(u or "", m or "")
+            page = parse(u or "", m or "")
             rows.append({"items": [x for i in items if (x := read_item(page, i))], "links": list(dict.fromkeys(page.hrefs())), "text": page.text() if with_text else None})
         return pd.DataFrame(rows, columns=["items", "links", "text"])
 
     return read
 
 
-def read_pages(pages: DataFrame, items: tuple[Item, ...], url: str = "url", markup: str = "html", with_text: bool = False) -> DataFrame:
+def read_pages(pages: DataFrame, items: tuple[Item, ...], url: str = "url", markup: str = "html", with_text: bool = False, closed: bool = False) -> DataFrame:
     """pages with `found` (items), `links` (absolute, distinct, in order) and `page_text` (null unless asked for)."""
-    out = pages.withColumn("__read", reader(items, with_text)(F.col(url), F.col(markup)))
+    out = pages.withColumn("__read", reader(items, with_text, closed)(F.col(url), F.col(markup)))
     links = F.array_distinct(F.filter(F.transform("__read.links", lambda h: urls.absolute(F.col(url), h)), lambda x: x != ""))
     return out.withColumn("found", F.col("__read.items")).withColumn("links", links).withColumn("page_text", F.col("__read.text")).drop("__read")
 
