@@ -10,12 +10,12 @@ from __future__ import annotations
 import dataclasses
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..functions import text as T
+from ..functions.batches import by_row
 from ..plans.job import Item, Property
 
 FOUND = "array<struct<item:string,raw:map<string,string>,how:map<string,string>,where:map<string,string>,missing:array<string>>>"
@@ -147,15 +147,12 @@ def reader(items: tuple[Item, ...], with_text: bool = True, closed: bool = False
     check(items)
     parse = html.Closed if closed else html.Page
 
-    @F.pandas_udf(f"struct<items:{FOUND},links:array<string>,text:string>")
-    def read(url: pd.Series, markup: pd.Series) -> pd.DataFrame:
-        rows = []
-        for u, m in zip(url, markup, strict=True):
-            page = parse(u or "", m or "")
-            rows.append({"items": [x for i in items if (x := read_item(page, i))], "links": list(dict.fromkeys(page.hrefs())), "text": page.text() if with_text else None})
-        return pd.DataFrame(rows, columns=["items", "links", "text"])
+    def read(url: str | None, markup: str | None) -> dict:
+        page = parse(url or "", markup or "")
+        found = [{k: list(v.items()) if isinstance(v, dict) else v for k, v in x.items()} for i in items if (x := read_item(page, i))]
+        return {"items": found, "links": list(dict.fromkeys(page.hrefs())), "text": page.text() if with_text else None}
 
-    return read
+    return by_row(read, f"struct<items:{FOUND},links:array<string>,text:string>")
 
 
 def read_pages(pages: DataFrame, items: tuple[Item, ...], url: str = "url", markup: str = "html", with_text: bool = False, closed: bool = False) -> DataFrame:
@@ -186,8 +183,8 @@ def records(read: DataFrame, items: tuple[Item, ...], spec: str = "") -> DataFra
 def fill_rates(read: DataFrame, items: tuple[Item, ...]) -> DataFrame:
     """item, property, pages, found, by_css, by_xpath, by_regex, by_semantics, empty, missing, rate; every declared property has a row."""
     declared = [(i.name, n) for i in items for top in i.properties for n in [top.name, *(f"{top.name}.{q.name}" for q in top.properties)]]
-    spark = read.sparkSession
-    shape = F.broadcast(spark.createDataFrame(declared, "item string, property string"))  # as many rows as a job declares
+    names = F.array(*[F.struct(F.lit(i).alias("item"), F.lit(n).alias("property")) for i, n in declared]).cast("array<struct<item:string,property:string>>")
+    shape = F.broadcast(read.sparkSession.range(1).select(F.inline(names)))  # as many rows as a job declares; no Python workers for them
     pages = read.agg(F.count("*").alias("pages"))
     got = read.select(F.explode("found").alias("x"))
     values = got.select(F.col("x.item").alias("item"), F.explode(F.map_entries("x.raw")).alias("e"), "x.how").select("item", F.col("e.key").alias("property"), F.col("e.value").alias("v"), F.col("how")[F.col("e.key")].alias("by"))
@@ -224,37 +221,34 @@ def induce(pages: DataFrame, items: tuple[Item, ...], least: float = 0.6, url: s
     """item, property, selector, support, pages: for each property the selector that gives its value (an example, or what extraction finds) on the most pages, if on `least` of all; more telling, deeper, shorter ones first among equals."""
     check(items)
 
-    @F.pandas_udf("array<struct<item:string,property:string,selector:string,worth:int,depth:int>>")
-    def candidates(url: pd.Series, markup: pd.Series) -> pd.Series:
-        out = []
-        for u, m in zip(url, markup, strict=True):
-            page, rows = html.Page(u or "", m or ""), []
-            text = " ".join(page.text().split())
-            for item in items:
-                for p in item.properties:
-                    want = next((e for e in p.examples if e in text), None)
-                    if want is None:
-                        got = find(page, p)
-                        want = got.raw if got else ""
-                    if not want:
-                        continue
-                    seen: dict[str, tuple[int, int]] = {}
-                    for i in page.range(0):
-                        if page.value(i) == want:
-                            depth, up = 0, i
-                            while up > 0:
-                                depth, up = depth + 1, page.rows[up].parent
-                            for s, worth in selectors_for(page, i):
-                                seen[s] = max(seen.get(s, (0, 0)), (worth, depth))
-                    for s, (worth, depth) in seen.items():
-                        row = html.css_first(page, 0, s)
-                        if row is not None and page.value(row) == want:
-                            rows.append((item.name, p.name, s, worth, depth))
-            out.append(rows)
-        return pd.Series(out)
+    def candidates(url: str | None, markup: str | None) -> list[dict]:
+        page, rows = html.Page(url or "", markup or ""), []
+        text = " ".join(page.text().split())
+        for item in items:
+            for p in item.properties:
+                want = next((e for e in p.examples if e in text), None)
+                if want is None:
+                    got = find(page, p)
+                    want = got.raw if got else ""
+                if not want:
+                    continue
+                seen: dict[str, tuple[int, int]] = {}
+                for i in page.range(0):
+                    if page.value(i) == want:
+                        depth, up = 0, i
+                        while up > 0:
+                            depth, up = depth + 1, page.rows[up].parent
+                        for s, worth in selectors_for(page, i):
+                            seen[s] = max(seen.get(s, (0, 0)), (worth, depth))
+                for s, (worth, depth) in seen.items():
+                    row = html.css_first(page, 0, s)
+                    if row is not None and page.value(row) == want:
+                        rows.append({"item": item.name, "property": p.name, "selector": s, "worth": worth, "depth": depth})
+        return rows
 
     total = pages.count()
-    rows = pages.select(F.explode(candidates(F.col(url), F.col(markup))).alias("c")).select("c.*")
+    found = by_row(candidates, "array<struct<item:string,property:string,selector:string,worth:int,depth:int>>")
+    rows = pages.select(F.explode(found(F.col(url), F.col(markup))).alias("c")).select("c.*")
     counts = rows.groupBy("item", "property", "selector").agg(F.count("*").alias("support"), F.max("worth").alias("worth"), F.max("depth").alias("depth")).where(F.col("support") >= least * total)
     spaces = F.length("selector") - F.length(F.replace("selector", F.lit(" "), F.lit("")))
     best = counts.groupBy("item", "property").agg(F.min_by(F.struct("selector", "support"), F.struct(-F.col("support"), -F.col("worth"), -F.col("depth"), spaces, F.length("selector"), F.col("selector"))).alias("b"))

@@ -1,10 +1,13 @@
+import gc
 import json
 import random
+import weakref
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.functions import html, urls
+from grainmill.functions import batches, html, urls
 from grainmill.operators import classify, crawl, entities, extract, frontier, robots
 from grainmill.operators import records
 from grainmill.operators import records as R
@@ -262,3 +265,34 @@ def test_paths():
     for bad in ("//p[", "//p]", "p[foo()]", "//p/odd::x", "", "//p[contains(@a)]"):
         with pytest.raises(ValueError):
             html.path(bad)
+
+
+def test_a_page_goes_when_it_is_read():
+    page = html.Page("u", PAGE)
+    assert html.css_first(page, 0, "article > h1 + div .name") is not None
+    gone = weakref.ref(page)
+    gc.disable()
+    try:
+        del page
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_rows_are_handed_on_before_the_batch_is_read(spark):
+    done = []
+    f = batches.by_row(lambda a, b: done.append(a) or {"x": a, "m": [(b, a)] if b else None}, "struct<x:string,m:map<string,string>>")
+    chunks = f.func(iter([(pa.array(["a"] * 1000), pa.array([None, "k"] * 500))]))
+    assert len(next(chunks)) == len(done) == batches.ROWS and sum(map(len, chunks)) == 1000 - batches.ROWS
+    large = f.func(iter([(pa.array(["a" * batches.SIZE] * 3), pa.array(["k"] * 3))]))
+    assert [len(c) for c in large] == [1, 1, 1] and next(large, None) is None
+
+
+def test_pages_are_parsed_once(spark):
+    item = Item("page", properties=(Property("title", css=("h1",), transforms=("text",)),))
+    pages = spark.createDataFrame([(1, "http://example.com/", PAGE, 0), (2, None, None, 0)], "seq long, url string, html string, at int").withColumn("fetched", F.timestamp_seconds("at"))
+    read = extract.read_pages(pages, (item,))
+    for rows in (extract.records(read, (item,)), extract.fill_rates(read, (item,)), crawl.discovered(read.withColumn("depth", F.lit(0)))):
+        assert rows._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r["property"], r["pages"], r["found"]) for r in extract.fill_rates(read, (item,)).collect()] == [("title", 2, 1)]
+    assert extract.fill_rates(read, ()).collect() == []
