@@ -9,10 +9,10 @@ import codecs
 import re
 from encodings.aliases import aliases
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from ..functions.batches import by_row
 
 #: Which codecs web pages may name; transformations and codecs that no page may name are not among them.
 _TEXT = re.compile(r"cp\d+|iso8859_\d+|latin_1|koi8_[ru]|mac_(roman|cyrillic)|gb\w+|big5\w*|shift_jis|euc_(jp|kr)|iso2022_jp|utf_8|utf_16(_[bl]e)?|tis_620|ascii|hz")
@@ -45,8 +45,8 @@ def decode_bytes(body: bytes, label: str) -> str:
     return body.decode(codec, "grainmill.open" if re.match(r"cp(12|874)", codec) else "replace")
 
 
-def _others(body: pd.Series, label: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else decode_bytes(bytes(b), x) for b, x in zip(body, label, strict=True)], dtype=object)
+def _other(body: bytes | None, label: str | None) -> str | None:
+    return None if body is None else decode_bytes(body, label)
 
 
 def _normal(label: Column) -> Column:
@@ -68,6 +68,6 @@ def decode(body: Column, content_type: Column) -> Column:
     """Text of a binary body; a null body is an empty text."""
     label = charset(body, content_type)
     own = F.coalesce(label.isin(UTF8), F.lit(True))
-    others = F.pandas_udf(_others, StringType())
+    others = by_row(_other, "string")
     text = F.when(own, F.make_valid_utf8(body.cast("string"))).otherwise(others(F.when(~own, body), label))
     return F.regexp_replace(F.coalesce(text, F.lit("")), "^\\uFEFF", "")

@@ -296,3 +296,11 @@ def test_pages_are_parsed_once(spark):
         assert rows._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
     assert [(r["property"], r["pages"], r["found"]) for r in extract.fill_rates(read, (item,)).collect()] == [("title", 2, 1)]
     assert extract.fill_rates(read, ()).collect() == []
+
+
+def test_other_charsets_are_decoded_by_row(spark):
+    texts = [None if i % 7 == 0 else f"é{i}ж" if i % 2 else f"é{i}" for i in range(300)]
+    rows = [(i, t and t.encode("cp1251" if i % 2 else "cp1252", "replace"), f"text/html; charset=windows-{1251 if i % 2 else 1252}") for i, t in enumerate(texts)]
+    got = spark.createDataFrame(rows, "i int, body binary, kind string").select("i", charsets.decode(F.col("body"), F.col("kind")).alias("text"))
+    assert "_other(" not in got._jdf.queryExecution().sparkPlan().toString() and ", 251" in got._jdf.queryExecution().sparkPlan().toString()  # Arrow columns, an iterator
+    assert [r["text"] for r in got.orderBy("i").collect()] == [(t or "").replace("é", "?") if i % 2 else t or "" for i, t in enumerate(texts)]
