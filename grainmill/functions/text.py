@@ -17,9 +17,29 @@ def blank(text: Column) -> Column:
     return F.coalesce(trimmed(text), F.lit("")) == ""
 
 
+_TOKEN = r"[\p{L}\p{Nd}]{2,}"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, those of one character dropped."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{Nd}]{2,}"), 0)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), 0)
+
+
+def has_tokens(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(_TOKEN)
+
+
+def counted(tokens: Column) -> Column:
+    """Distinct tokens with their counts (term, n), in order, within the row; a list bound by a lambda is computed once."""
+
+    def ends(ordered: Column) -> Column:
+        last = lambda x, i: F.when(~F.get(ordered, i + 1).eqNullSafe(x), F.struct(x.alias("term"), (i + 1).cast("long").alias("to")))
+        return F.filter(F.transform(ordered, last), lambda x: x.isNotNull())
+
+    def runs(found: Column) -> Column:
+        return F.transform(found, lambda x, i: F.struct(x["term"].alias("term"), (x["to"] - F.coalesce(F.get(found, i - 1)["to"], F.lit(0))).alias("n")))
+
+    return F.transform(F.transform(F.array(F.sort_array(tokens)), ends), runs)[0]
 
 
 def saturate(n: Column) -> Column:

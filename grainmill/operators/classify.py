@@ -15,9 +15,21 @@ from ..functions import urls
 from ..sources.tables import settle
 
 
+def term_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, counts (term, n): each key's tokens with their counts, keys without tokens left out. They are counted within the row; only texts that share a key are shuffled."""
+    own = lambda rows: rows.where(T.has_tokens(F.col(text))).select(key, T.counted(T.tokens(F.col(text))).alias("counts"))
+    shared = settle(docs.groupBy(key).agg(F.count("*").alias("texts")).where("texts > 1").select(F.col(key).alias("__shared")))
+    if shared.isEmpty():
+        return own(docs)
+    same = docs[key].eqNullSafe(shared["__shared"])
+    each = own(docs.join(shared, same, "left_semi")).select(key, F.inline("counts"))
+    together = each.groupBy(key, "term").agg(F.sum("n").alias("n")).groupBy(key).agg(F.collect_list(F.struct("term", "n")).alias("counts"))
+    return own(docs.join(shared, same, "left_anti")).unionByName(together)
+
+
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, n: each token of each text with its count."""
-    return docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return term_lists(docs, key, text).select(key, F.inline("counts"))
 
 
 def _occurrences(joined: Column, words: list[str]) -> Column:

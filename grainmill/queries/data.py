@@ -49,8 +49,10 @@ def tokenize(spark, sf_dir):
 
 def term_counts(spark, sf_dir):
     """Each document's terms with their counts, as their number, their sum and a digest of them all."""
-    counts = classify.term_counts(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n", F.concat("term", F.lit("="), "n").alias("x"))
-    return counts.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("n").alias("tokens"), F.md5(F.array_join(F.array_sort(F.collect_list("x")), ",").cast("binary")).alias("digest"))
+    counts = F.col("counts")
+    digest = F.md5(F.array_join(F.sort_array(F.transform(counts, lambda x: F.concat(x["term"], F.lit("="), x["n"]))), ",").cast("binary"))
+    tokens = F.aggregate(counts, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    return classify.term_lists(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.size(counts).cast("long").alias("terms"), tokens.alias("tokens"), digest.alias("digest"))
 
 
 def terms_score(spark, sf_dir):

@@ -304,3 +304,14 @@ def test_other_charsets_are_decoded_by_row(spark):
     got = spark.createDataFrame(rows, "i int, body binary, kind string").select("i", charsets.decode(F.col("body"), F.col("kind")).alias("text"))
     assert "_other(" not in got._jdf.queryExecution().sparkPlan().toString() and ", 251" in got._jdf.queryExecution().sparkPlan().toString()  # Arrow columns, an iterator
     assert [r["text"] for r in got.orderBy("i").collect()] == [(t or "").replace("é", "?") if i % 2 else t or "" for i, t in enumerate(texts)]
+
+
+def test_terms_are_counted_where_they_are(spark):
+    rows = [(1, "Bb aa AA c cc9 bb aa"), (2, ""), (3, None), (4, "zz"), (1, "aa dd"), (None, "aa"), (None, "aa aa")]
+    docs = spark.createDataFrame(rows, "k int, t string")
+    want = {(1, "aa", 4), (1, "bb", 2), (1, "cc9", 1), (1, "dd", 1), (4, "zz", 1), (None, "aa", 3)}
+    got = [tuple(r) for r in classify.term_counts(docs, "k", "t").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert sorted(r["k"] or 0 for r in classify.term_lists(docs, "k", "t").collect()) == [0, 1, 4]
+    alone = classify.term_counts(docs.where("k > 1"), "k", "t")
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString() and [tuple(r) for r in alone.collect()] == [(4, "zz", 1)]
