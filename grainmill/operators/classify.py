@@ -77,7 +77,7 @@ def bayes_statistics(docs: DataFrame, text: str, about: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count_if(F.col("__about")).alias("about"), F.count_if(~F.col("__about")).alias("against"))
 
 
-#: Terms that are broadcast to score with; of larger models only those that make up a thousandth of all tokens or more.
+#: Terms that are broadcast to score with: of larger models the most frequent, about as many.
 BROADCAST_TERMS = 500_000
 
 
@@ -92,20 +92,24 @@ class Bayes:
     examples: int = 0
     terms: int | None = None
 
-    def _known(self, counts: DataFrame) -> DataFrame:
-        """The counted terms that the model knows, with their odds; no frequent term meets its rows in one task."""
-        odds = self.odds.select("term", "odds")
-        if (self.odds.count() if self.terms is None else self.terms) <= BROADCAST_TERMS:
-            return counts.join(F.broadcast(odds), "term")
-        frequent = self.odds.where("share >= 0.001").select("term", F.col("odds").alias("at_hand"))  # a thousand at most
-        counts = counts.join(F.broadcast(frequent), "term", "left")
-        rest = counts.where("at_hand is null").drop("at_hand").join(odds, "term")
-        return counts.where("at_hand is not null").withColumnRenamed("at_hand", "odds").unionByName(rest)
-
     def evidence(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """key, evidence (null where no term is known)."""
-        known = self._known(term_counts(docs, key, text))
-        return known.groupBy(key).agg((F.lit(self.prior) + F.sum(F.col("odds") * T.saturate(F.col("n"))) / F.sqrt(F.count("*"))).alias("evidence"))
+        counts, odds = term_counts(docs, key, text), self.odds.select("term", "odds")
+        terms = self.odds.count() if self.terms is None else self.terms
+        total, known = F.sum(F.col("odds") * T.saturate(F.col("n"))).alias("total"), F.count("odds").alias("known")
+        if terms <= BROADCAST_TERMS:
+            sums = counts.join(F.broadcast(odds), "term").groupBy(key).agg(total, known)
+        else:
+            # what the terms at hand give is summed up at once; only the others, few by their number, meet the rest of the model
+            least = self.odds.agg(F.percentile_approx("share", 1 - BROADCAST_TERMS / terms, 100_000)).first()[0]
+            pairs = counts.join(F.broadcast(self.odds.where(F.col("share") > least).select("term", "odds")), "term", "left")
+            parts = pairs.groupBy(key, F.when(F.col("odds").isNull(), F.col("term")).alias("rare")).agg(total, known, F.max("n").alias("n"))
+            # a sum meets no term: a space with its key is none, and keeps the sums in as many places as there are keys
+            place = F.coalesce("rare", F.concat(F.lit(" "), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+            parts = parts.withColumn("term", place).join(self.odds.where(F.col("share") <= least).select("term", "odds"), "term", "left")
+            rare = F.col("odds") * T.saturate(F.col("n"))
+            sums = parts.groupBy(key).agg((F.coalesce(F.sum("total"), F.lit(0.0)) + F.coalesce(F.sum(rare), F.lit(0.0))).alias("total"), (F.sum("known") + F.count("odds")).alias("known"))
+        return sums.where("known > 0").select(key, (F.lit(self.prior) + F.col("total") / F.sqrt("known")).alias("evidence"))
 
     def score(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """key, score: one row for each of docs (keys are unique); blank texts have 0, texts without known terms 0.5."""

@@ -315,3 +315,18 @@ def test_terms_are_counted_where_they_are(spark):
     assert sorted(r["k"] or 0 for r in classify.term_lists(docs, "k", "t").collect()) == [0, 1, 4]
     alone = classify.term_counts(docs.where("k > 1"), "k", "t")
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString() and [tuple(r) for r in alone.collect()] == [(4, "zz", 1)]
+
+
+def test_large_models_score_as_small_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[min(int(rng.expovariate(0.1)), 59)] for _ in range(rng.randrange(40))), i % 3 == 0) for i in range(90)] + [(90, "xx yy", False), (91, "", True), (92, None, False), (93, "w59", True)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, about boolean")
+    model = classify.train(docs)
+    small = {r["doc_id"]: r["score"] for r in model.score(docs, "doc_id", "text").collect()}
+    for most in (1, 7, 40):
+        monkeypatch.setattr(classify, "BROADCAST_TERMS", most)
+        scored = model.score(docs, "doc_id", "text")
+        assert {r["doc_id"]: r["score"] for r in scored.collect()} == pytest.approx(small, abs=1e-12) and len(small) == len(rows)
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()  # tokens of frequent terms are summed up before any shuffle, all in one pass
+        assert plan.count("regexp_extract_all") == 1
