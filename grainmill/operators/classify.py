@@ -22,14 +22,14 @@ def term_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
     if shared.isEmpty():
         return own(docs)
     same = docs[key].eqNullSafe(shared["__shared"])
-    each = own(docs.join(shared, same, "left_semi")).select(key, F.inline("counts"))
+    each = own(docs.join(shared, same, "left_semi")).select(key, F.inline_outer("counts"))
     together = each.groupBy(key, "term").agg(F.sum("n").alias("n")).groupBy(key).agg(F.collect_list(F.struct("term", "n")).alias("counts"))
     return own(docs.join(shared, same, "left_anti")).unionByName(together)
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, n: each token of each text with its count."""
-    return term_lists(docs, key, text).select(key, F.inline("counts"))
+    return term_lists(docs, key, text).select(key, F.inline_outer("counts"))  # no list is empty, and a plan infers no filter that counts again
 
 
 def _occurrences(joined: Column, words: list[str]) -> Column:
